@@ -75,11 +75,8 @@ DECISION_ALIASES = {
 
 def decision(c: Column) -> Column:
     """Editorial decision in one spelling; missing or blank as ``unknown``."""
-    s = category(c)
-    out = s
-    for short, full in DECISION_ALIASES.items():
-        out = F.when(s == short, F.lit(full)).otherwise(out)
-    return F.coalesce(out, F.lit("unknown"))
+    full = F.create_map(*[F.lit(x) for pair in DECISION_ALIASES.items() for x in pair])
+    return F.coalesce(F.transform(F.array(category(c)), lambda s: F.coalesce(full[s], s))[0], F.lit("unknown"))
 
 
 # Texts that stand where an abstract is missing.
