@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import groups, overlap
-from peerlume.session import table
+from peerlume.llm import consensus, groups, overlap, sampling
+from peerlume.session import cut, materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,106 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.sum("pairs"), F.lit(0)).alias("overlapping_pairs"),
         )
     )
+
+
+# Classes of the labelled fields, the most frequent first.
+LABEL_CLASSES = {
+    "category": [
+        "writing_clarity", "interpretation", "missing_experiment", "design_flaw", "statistical_methodology",
+        "prior_art_novelty", "reagent_method_specificity", "figure_issue", "other",
+    ],
+    "severity": ["major", "minor", "optional"],
+    "author_stance": ["no_response", "conceded", "partial", "rebutted", "unclear"],
+}
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "concern_labels")
+    return consensus.latest_answers(labels, "concern_no", "annotator_id", ["labelled_at", "label_no"], {f: category(F.col(f)) for f in LABEL_CLASSES})
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus label of each labelled concern and field."""
+    votes = _votes(spark, sf_dir)
+    post, _ = consensus.reliability_em(votes, LABEL_CLASSES)
+    best = consensus.best_label(post, LABEL_CLASSES)
+    items = table(spark, sf_dir, "concern_labels").select(F.col("concern_no").alias("item")).where("item is not null").distinct()
+    fields = items.select("item", F.explode(F.array(*map(F.lit, LABEL_CLASSES))).alias("field"))
+    default = F.create_map(*[x for f, c in LABEL_CLASSES.items() for x in (F.lit(f), F.lit(c[0]))])
+    return fields.join(best, ["item", "field"], "left").select(F.col("item").alias("concern_no"), "field", F.coalesce("label", default[F.col("field")]).alias("label"))
+
+
+@query
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement per field, corrected for chance."""
+    return consensus.agreement(_votes(spark, sf_dir))
+
+
+@query
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability per field and annotator."""
+    votes = cut(_votes(spark, sf_dir))
+    post, _ = consensus.reliability_em(votes, LABEL_CLASSES)
+    return consensus.annotator_reliability(votes, post, LABEL_CLASSES)
+
+
+SAMPLE_AXES = ["source", "editorial_decision", "review_format"]
+
+
+def _sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "articles").select("entry_no", "id", *SAMPLE_AXES)
+    records = sampling.one_record_per_id(rows, "entry_no", "id")
+    known = lambda c: F.coalesce(category(F.col(c)), F.lit("unknown"))
+    return records.select("entry_no", known("source").alias("source"), decision(F.col("editorial_decision")).alias("editorial_decision"), known("review_format").alias("review_format"))
+
+
+def _sample_needs(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    return sampling.target_needs(records, table(spark, sf_dir, "sample_plans"), table(spark, sf_dir, "sample_targets"), SAMPLE_AXES)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that the records cannot meet."""
+    return _sample_needs(spark, sf_dir, _sample_records(spark, sf_dir)).where("available < need").select("target_no")
+
+
+@query
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of each plan."""
+    records = materialised(_sample_records(spark, sf_dir), "sample-records")
+    return sampling.draw(records, _sample_needs(spark, sf_dir, records), "entry_no", SAMPLE_AXES)
+
+
+@query
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Need, available, drawn and deficit of each target."""
+    records = materialised(_sample_records(spark, sf_dir), "sample-records")
+    needs = _sample_needs(spark, sf_dir, records)
+    return sampling.report(needs, sampling.draw(records, needs, "entry_no", SAMPLE_AXES))
+
+
+_DUCK_CATEGORY = "nullif(replace(trim(regexp_replace(lower({c}), '[\\s _-]+', ' ', 'g')), ' ', '_'), '')"
+
+SQL["p5_found"] = f"""
+with records as (
+  select source, editorial_decision, review_format from articles
+  where id is null or entry_no in (select min(entry_no) from articles where id is not null group by id)
+), cat as (
+  select coalesce({_DUCK_CATEGORY.format(c='source')}, 'unknown') as source,
+    coalesce({_DUCK_CATEGORY.format(c='editorial_decision')}, 'unknown') as d,
+    coalesce({_DUCK_CATEGORY.format(c='review_format')}, 'unknown') as review_format
+  from records
+), r as (
+  select source, review_format, case d when 'accepted' then 'accept' when 'minor' then 'minor_revision' when 'minor_revisions' then 'minor_revision'
+    when 'major' then 'major_revision' when 'major_revisions' then 'major_revision' when 'rejected' then 'reject' else d end as editorial_decision
+  from cat
+), need as (
+  select t.*, greatest(t.min_count, ceil(t.share_pct * floor(p.sample_pct * (select count(*) from r) / 100) / 100)) as need
+  from sample_targets t join sample_plans p using (plan_name)
+)
+select target_no from need n
+where (select count(*) from r where (n.source is null or n.source = r.source)
+  and (n.editorial_decision is null or n.editorial_decision = r.editorial_decision)
+  and (n.review_format is null or n.review_format = r.review_format)) < need
+"""
