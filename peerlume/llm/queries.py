@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import consensus, groups, overlap, sampling
+from peerlume.llm import consensus, groups, overlap, sampling, tokens
 from peerlume.session import cut, materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,19 @@ where (select count(*) from r where (n.source is null or n.source = r.source)
   and (n.editorial_decision is null or n.editorial_decision = r.editorial_decision)
   and (n.review_format is null or n.review_format = r.review_format)) < need
 """
+
+
+@query
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.Encoder.fit(documents).encode(documents, "doc_id")
+
+
+@query
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose decoded ids are not their text; empty if the encoding loses nothing."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = tokens.Encoder.fit(documents).encode(documents, "doc_id")
+    back = encoded.select("doc_id", tokens.decode(F.col("ids")).alias("back"))
+    return back.join(documents, "doc_id").where(F.col("back") != F.coalesce("text", F.lit(""))).select("doc_id")
