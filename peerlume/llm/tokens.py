@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlume.session import materialised
@@ -32,7 +32,7 @@ _SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 WORDS = rf"('s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+)"
 
 _SEPARATOR = "\x01x\x01"  # no word holds it: a word with a letter holds no control character
-LITERAL_WORDS = 150_000  # the most frequent words of the corpus; the rest is looked up by a join
+LITERAL_WORDS = 100_000  # the most frequent words of the corpus; the rest is looked up by a join
 LONGEST_FOLD = 96  # bytes; the fold is quadratic, so longer words go to the vocabulary's own merge routine
 
 
@@ -42,44 +42,54 @@ def read_ranks(name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> dict
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-@dataclass
 class Lookup:
-    """A two-choice hash table of string keys with integer lists, as Spark literals."""
+    """A two-choice hash table of string keys with integer lists, as one Spark literal.
 
-    keys: Column
-    offsets: Column
-    lengths: Column
-    values: Column
-    slots: int
+    :meth:`bind` puts the literal into an expression once and hands its parts to the caller, so
+    that neither the plan nor a task carries it twice.
+    """
 
-    @staticmethod
-    def _slot(word: Column, seed: int, slots: int) -> Column:
-        return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(slots)).cast("int")
+    def __init__(self, entries: dict[str, list[int]]):
+        import xxhash
 
-    @classmethod
-    def build(cls, spark: SparkSession, entries: dict[str, list[int]]) -> Lookup:
-        slots = max(16, int(len(entries) * 2.6))
         names = list(entries)
-        for seed in range(0, 64, 2):
-            two = _hashes(spark, names, seed, slots)
-            table = _place(two, slots)
-            if table is not None:
+        hashes = [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(w.encode(), seed=42) for w in names)]
+        slots = max(16, int(len(names) * 2.6))
+        for slots in range(slots, slots + 64):
+            at = _place([(h % slots, (h >> _SHIFT) % slots) for h in hashes])
+            if at is not None:
                 break
         else:
             raise RuntimeError("the look-up table could not be built")
-        keys = [""] * slots
-        offsets, lengths, values = [0] * slots, [0] * slots, []
-        for slot, k in table.items():
+        self.slots = slots
+        keys, offsets, lengths, values = [""] * slots, [0] * slots, [0] * slots, []
+        for slot, k in at.items():
             keys[slot], offsets[slot], lengths[slot] = names[k], len(values), len(entries[names[k]])
             values += entries[names[k]]
         numbers = lambda x: F.split(F.lit(",".join(map(str, x or [0]))), ",").cast("array<int>")
-        out = cls(F.split(F.lit(_SEPARATOR.join(keys)), _SEPARATOR, -1), numbers(offsets), numbers(lengths), numbers(values), slots)
-        out.seed = seed
-        return out
+        self.literal = F.struct(
+            F.split(F.lit(_SEPARATOR.join(keys)), _SEPARATOR, -1).alias("keys"),
+            numbers(offsets).alias("offsets"), numbers(lengths).alias("lengths"), numbers(values).alias("values"),
+        )
+
+    def bind(self, body) -> Column:
+        """body(table) with the parts of the literal bound to a variable."""
+        return F.transform(F.array(self.literal), lambda t: body(Bound(t, self.slots)))[0]
+
+
+_SHIFT = 23
+
+
+class Bound:
+    """The table inside an expression."""
+
+    def __init__(self, t: Column, slots: int):
+        self.keys, self.offsets, self.lengths, self.values, self.slots = t["keys"], t["offsets"], t["lengths"], t["values"], slots
 
     def slot(self, word: Column) -> Column:
         """Slot of a word, -1 where it is not in the table."""
-        a, b = (self._slot(word, self.seed + i, self.slots) for i in (0, 1))
+        a = F.pmod(F.xxhash64(word), F.lit(self.slots)).cast("int")
+        b = F.pmod(F.shiftright(F.xxhash64(word), _SHIFT), F.lit(self.slots)).cast("int")
         return F.when(F.get(self.keys, a) == word, a).when(F.get(self.keys, b) == word, b).otherwise(F.lit(-1))
 
     def ids(self, slot: Column) -> Column:
@@ -91,25 +101,17 @@ class Lookup:
         return F.get(self.values, F.get(self.offsets, self.slot(word)))
 
 
-def _hashes(spark: SparkSession, names: list[str], seed: int, slots: int) -> np.ndarray:
-    """Both slots of each name, by the JVM's own hash."""
-    df = spark.createDataFrame(pd.DataFrame({"k": range(len(names)), "w": names}), "k int, w string").coalesce(8)
-    out = df.select("k", *[Lookup._slot(F.col("w"), seed + i, slots).alias(f"s{i}") for i in (0, 1)]).toPandas().sort_values("k")
-    return out[["s0", "s1"]].to_numpy()
-
-
-def _place(two: np.ndarray, slots: int) -> dict[int, int] | None:
+def _place(two: list[tuple[int, int]]) -> dict[int, int] | None:
     """Cuckoo placement: slot -> entry, or None if it does not come out."""
     at: dict[int, int] = {}
-    pairs = two.tolist()
-    for k in range(len(pairs)):
-        slot, moved = pairs[k][0], k
+    for k in range(len(two)):
+        slot, moved = two[k][0], k
         for _ in range(500):
             if slot not in at:
                 at[slot] = moved
                 break
             at[slot], moved = moved, at[slot]
-            a, b = pairs[moved]
+            a, b = two[moved]
             slot = b if slot == a else a
         else:
             return None
@@ -123,45 +125,42 @@ def words_of(text: Column) -> Column:
 
 def fold_merges(word_hex: Column, ranks: Lookup) -> Column:
     """Ids of a word given as hexadecimal digits: merge the leftmost pair of lowest rank until none has one."""
-    piece = lambda p, i: F.get(p, i)
-    start = F.regexp_extract_all(word_hex, F.lit("(..)"), F.lit(1))
+    none = F.lit(2**31 - 1)
 
-    def step(p: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.coalesce(ranks.first(F.concat(piece(p, i), piece(p, i + 1))), F.lit(2**31 - 1)))
-        return F.when(F.size(p) < 2, p).otherwise(_merge(p, pairs))
+    def fold(table: Bound) -> Column:
+        def step(p: Column, _: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.coalesce(table.first(F.concat(F.get(p, i), F.get(p, i + 1))), none))
+            # the pair ranks, then the best of them, are bound once by one-element transforms
+            best = F.transform(F.array(pairs), lambda r: F.struct(F.array_min(r).alias("rank"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))
+            joined = lambda b: F.concat(
+                F.slice(p, F.lit(1), b["at"] - 1), F.array(F.concat(F.get(p, b["at"] - 1), F.get(p, b["at"]))), F.slice(p, b["at"] + 2, F.size(p))
+            )
+            return F.when(F.size(p) < 2, p).otherwise(F.transform(best, lambda b: F.when(b["rank"] == none, p).otherwise(joined(b)))[0])
 
-    def _merge(p: Column, pairs: Column) -> Column:
-        # the pair ranks are bound once by a one-element transform
-        best = F.transform(F.array(pairs), lambda r: F.struct(F.array_min(r).alias("rank"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))
-        return F.transform(
-            best,
-            lambda b: F.when(b["rank"] == 2**31 - 1, p).otherwise(
-                F.concat(F.slice(p, F.lit(1), b["at"] - 1), F.array(F.concat(F.get(p, b["at"] - 1), F.get(p, b["at"]))), F.slice(p, b["at"] + 2, F.size(p)))
-            ),
-        )[0]
+        bytes_ = F.regexp_extract_all(word_hex, F.lit("(..)"), F.lit(1))
+        merged = F.aggregate(F.sequence(F.lit(1), (F.length(word_hex) / 2).cast("int")), bytes_, step)
+        whole = table.first(word_hex)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged, lambda x: table.first(x)))
 
-    merged = F.aggregate(F.sequence(F.lit(1), (F.length(word_hex) / 2).cast("int")), start, step)
-    return F.transform(merged, lambda x: ranks.first(x))
+    return ranks.bind(fold)
 
 
 def word_ids(words: DataFrame, name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> DataFrame:
     """(word, n) of distinct words -> (word, n, ids)."""
-    spark = words.sparkSession
-    ranks = Lookup.build(spark, {piece.hex().upper(): [rank] for piece, rank in read_ranks(name, folder).items()})
-    coded = words.withColumn("code", F.hex(F.encode("word", "UTF-8"))).withColumn("whole", ranks.first(F.col("code")))
+    ranks = Lookup({piece.hex().upper(): [rank] for piece, rank in read_ranks(name, folder).items()})
+    coded = words.withColumn("code", F.hex(F.encode("word", "UTF-8")))
     short = F.length("code") <= 2 * LONGEST_FOLD
-    folded = coded.where(F.col("whole").isNull() & short).select("word", "n", fold_merges(F.col("code"), ranks).alias("ids"))
-    known = coded.where(F.col("whole").isNotNull()).select("word", "n", F.array("whole").alias("ids"))
+    folded = coded.where(short).select("word", "n", fold_merges(F.col("code"), ranks).alias("ids"))
 
     @F.pandas_udf("array<int>")
-    def long_word(ws: pd.Series) -> pd.Series:
+    def long_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
         enc = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(name, folder), special_tokens={})
-        return ws.map(lambda w: enc.encode_ordinary(w))
+        for ws in batches:
+            yield ws.map(enc.encode_ordinary)
 
-    far = coded.where(F.col("whole").isNull() & ~short).select("word", "n", long_word("word").alias("ids"))
-    return known.unionByName(folded).unionByName(far)
+    return folded.unionByName(coded.where(~short).select("word", "n", long_word("word").alias("ids")))
 
 
 @dataclass
@@ -179,40 +178,47 @@ class Encoder:
         Counting words combines on the map side; only distinct words are shuffled. The literal
         table holds the ``literal_words`` most frequent ones, a fixed bound.
         """
-        spark = texts.sparkSession
         words = texts.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         dictionary = materialised(word_ids(materialised(words, "words"), name, folder), "dictionary")
-        top = dictionary.orderBy(F.desc("n"), "word").limit(literal_words + 1).collect()
-        complete = len(top) <= literal_words
-        entries = {r.word: r.ids for r in top[:literal_words]}
-        return cls(Lookup.build(spark, entries), dictionary, complete)
-
-    def encode(self, docs: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
-        """docs with (key, out): the ids of each text."""
-        look = self.lookup
-        words = docs.select(key, words_of(F.col(text)).alias("_w"))
-        slots = words.select(key, "_w", F.transform("_w", lambda w: look.slot(w)).alias("_s"))
-        if self.complete:
-            return slots.select(key, F.flatten(F.transform("_s", lambda s: look.ids(s))).alias(out))
-        return self._joined(slots, key, lambda s, own: F.when(s >= 0, look.ids(s)).otherwise(own), lambda x: F.flatten(x), out)
+        top = dictionary.orderBy(F.desc("n"), "word").limit(literal_words + 1).select("word", "ids").collect()
+        return cls(Lookup({r.word: r.ids for r in top[:literal_words]}), dictionary, len(top) <= literal_words)
 
-    def lengths(self, docs: DataFrame, key: str, text: str = "text", out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
-        """docs with (key, keep..., out): the number of ids of each text."""
-        look = self.lookup
+    def _looked_up(self, docs: DataFrame, key: str, text: str, keep: tuple[str, ...], whole, combine, value, out: str) -> DataFrame:
         words = docs.select(key, *keep, words_of(F.col(text)).alias("_w"))
+        slot = lambda t: F.transform("_w", lambda w: t.slot(w))
         if self.complete:
-            n = F.aggregate("_w", F.lit(0), lambda a, w: a + F.get(look.lengths, look.slot(w)))
-            return words.select(key, *keep, n.alias(out))
-        slots = words.select(key, *keep, "_w", F.transform("_w", lambda w: look.slot(w)).alias("_s"))
-        add = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-        return self._joined(slots, key, lambda s, own: F.when(s >= 0, F.get(look.lengths, s)).otherwise(F.size(own)), add, out, keep)
-
-    def _joined(self, slots: DataFrame, key: str, value, combine, out: str, keep: tuple[str, ...] = ()) -> DataFrame:
-        """Words beyond the literal table: joined with the dictionary, once per text and word."""
-        rare = slots.select(key, F.explode(F.array_distinct(F.filter("_w", lambda w: self.lookup.slot(w) < 0))).alias("word"))
+            return words.select(key, *keep, self.lookup.bind(lambda t: whole(t, slot(t))).alias(out))
+        # words beyond the literal table are joined with the dictionary, once per text and word;
+        # texts without such words take no part in that join
+        marked = words.select(key, *keep, "_w", self.lookup.bind(slot).alias("_s"))
+        plain = marked.where(~F.array_contains("_s", -1)).select(key, *keep, self.lookup.bind(lambda t: whole(t, F.col("_s"))).alias(out))
+        rest = marked.where(F.array_contains("_s", -1))
+        rare = rest.select(key, F.explode(F.array_distinct(F.filter(F.zip_with("_w", "_s", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull()))).alias("word"))
         mine = rare.join(self.dictionary.select("word", "ids"), "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("_m"))
-        both = slots.join(mine, key, "left")
-        return both.select(key, *keep, combine(F.zip_with("_w", "_s", lambda w, s: value(s, F.col("_m")[w]))).alias(out))
+        both = rest.join(mine, key, "left")
+        mixed = self.lookup.bind(lambda t: combine(F.zip_with("_w", "_s", lambda w, s: value(t, s, F.col("_m")[w]))))
+        return plain.unionByName(both.select(key, *keep, mixed.alias(out)))
+
+    def encode(self, docs: DataFrame, key: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+        """(key, keep..., out): the ids of each text; ``key`` is unique."""
+        return self._looked_up(
+            docs, key, text, keep,
+            whole=lambda t, s: F.flatten(F.transform(s, lambda x: t.ids(x))),
+            combine=F.flatten,
+            value=lambda t, s, own: F.when(s >= 0, t.ids(s)).otherwise(own),
+            out=out,
+        )
+
+    def lengths(self, docs: DataFrame, key: str, text: str = "text", out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
+        """(key, keep..., out): the number of ids of each text; ``key`` is unique."""
+        total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+        return self._looked_up(
+            docs, key, text, keep,
+            whole=lambda t, s: F.aggregate(s, F.lit(0), lambda a, x: a + F.get(t.lengths, x)),
+            combine=total,
+            value=lambda t, s, own: F.when(s >= 0, F.get(t.lengths, s)).otherwise(F.size(own)),
+            out=out,
+        )
 
 
 def decode(ids: Column, name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> Column:
