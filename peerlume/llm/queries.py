@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import consensus, groups, overlap, sampling, tokens
+from peerlume.llm import consensus, groups, overlap, packing, sampling, spam, tokens
 from peerlume.session import cut, materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,36 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.Encoder.fit(documents).encode(documents, "doc_id")
     back = encoded.select("doc_id", tokens.decode(F.col("ids")).alias("back"))
     return back.join(documents, "doc_id").where(F.col("back") != F.coalesce("text", F.lit(""))).select("doc_id")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", packing.source_column(F.col("source")).alias("source"))
+    sizes = materialised(tokens.Encoder.fit(documents).lengths(documents, "doc_id", keep=("source",)), "sizes")
+    capacities = [(r.container_id, r.capacity_tokens) for r in table(spark, sf_dir, "containers").orderBy("container_id").collect()]  # a fixed table
+    return packing.pack(sizes, "doc_id", "source", "n_tokens", capacities), capacities
+
+
+@query
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document, or each piece of one longer than the capacity, lies."""
+    return _packed(spark, sf_dir)[0]
+
+
+@query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and how full they are."""
+    return packing.fill_report(*_packed(spark, sf_dir))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of repeated keywords, links or product tags."""
+    measured = materialised(spam.features(table(spark, sf_dir, "documents"), "doc_id", "text"), "page-features")
+    return spam.spam_pages(measured).select("doc_id")
+
+
+@query
+def p9_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signs that made each page spam."""
+    measured = materialised(spam.features(table(spark, sf_dir, "documents"), "doc_id", "text"), "page-features")
+    return spam.spam_pages(measured).select("doc_id", "language", F.array_join("signs", ", ").alias("signs"), "prose_share")
