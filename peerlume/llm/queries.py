@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import consensus, groups, overlap, packing, sampling, spam, tokens
+from peerlume.llm import consensus, groups, history, overlap, packing, sampling, spam, tokens
 from peerlume.session import cut, materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,24 @@ def p9_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signs that made each page spam."""
     measured = materialised(spam.features(table(spark, sf_dir, "documents"), "doc_id", "text"), "page-features")
     return spam.spam_pages(measured).select("doc_id", "language", F.array_join("signs", ", ").alias("signs"), "prose_share")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> history.History:
+    """Everything accepted before the first batch: all articles and all collected ids."""
+    articles = history.records(table(spark, sf_dir, "articles"), "entry_no", F.lit(history.BEFORE_ALL))
+    ids = table(spark, sf_dir, "source_state").select(F.explode("collected_ids").alias("id")).where("id is not null").distinct()
+    empty = F.lit(None).cast("string")
+    ids = ids.select(F.lit(None).cast("bigint").alias("entry_no"), "id", empty.alias("doi"), empty.alias("title"), empty.alias("abstract"))
+    out = history.History(spark)
+    out.append(materialised(articles.unionByName(history.records(ids, "entry_no", F.lit(history.BEFORE_ALL))), "history-records"))
+    return out
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rows that are known, checked batch by batch."""
+    incoming = table(spark, sf_dir, "incoming")
+    batches = [r.batch_no for r in incoming.select("batch_no").distinct().orderBy("batch_no").collect()]  # batches are few: one per delivery
+    recs = history.records(incoming, "incoming_no", F.col("incoming_no"))
+    recs = recs.join(incoming.select(F.col("incoming_no").alias("rec"), "batch_no"), "rec")
+    return history.found_in_batches(_history(spark, sf_dir), recs, "batch_no", batches).select(F.col("rec").alias("incoming_no"))
