@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import consensus, groups, history, overlap, packing, sampling, spam, tokens
+from peerlume.llm import consensus, groups, history, overlap, packing, privacy, sampling, spam, tokens
 from peerlume.session import cut, materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = history.records(incoming, "incoming_no", F.col("incoming_no"))
     recs = recs.join(incoming.select(F.col("incoming_no").alias("rec"), "batch_no"), "rec")
     return history.found_in_batches(_history(spark, sf_dir), recs, "batch_no", batches).select(F.col("rec").alias("incoming_no"))
+
+
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews, concerns = table(spark, sf_dir, "peerj_reviews"), table(spark, sf_dir, "concerns")
+    no_item = F.lit(0).cast("bigint").alias("item")
+    texts = reviews.select(F.lit("peerj_reviews").alias("table_name"), F.col("review_no").alias("row_no"), F.lit("review_texts").alias("field"), F.posexplode("review_texts").alias("item", "text"))
+    texts = texts.withColumn("item", F.col("item").cast("bigint"))
+    responses = reviews.select(F.lit("peerj_reviews").alias("table_name"), F.col("review_no").alias("row_no"), F.lit("author_response_raw").alias("field"), no_item, F.col("author_response_raw").alias("text"))
+    of_concerns = concerns.select(F.lit("concerns").alias("table_name"), F.col("concern_no").alias("row_no"), F.lit("author_response_text").alias("field"), no_item, F.col("author_response_text").alias("text"))
+    return texts.unionByName(responses).unionByName(of_concerns).where("text is not null")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of personal information in each text."""
+    places = privacy.personal_places(_personal_texts(spark, sf_dir))
+    return places.select("table_name", "row_no", "field", "item", "pii_type").distinct()
+
+
+@query
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with placeholders in place of personal information."""
+    texts = _personal_texts(spark, sf_dir)
+    marks = {r.pii_type: r.placeholder for r in table(spark, sf_dir, "placeholders").collect()}  # a fixed table
+    return privacy.redacted(texts, privacy.personal_places(texts), marks)
