@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import abstract_words, canonical_doi, canonical_id, comparable_words
-from peerlume.llm.overlap import hashed, similar
+from peerlume.llm.overlap import hashed, rarer, similar
+from peerlume.llm.tokens import Lookup
 from peerlume.session import materialised, shared_table_path
 
-SORT_KEYS = 6  # independent sort keys of a text
+SORT_KEYS = 8  # independent sort keys of a text
 WINDOW = 6  # neighbours looked at on either side of a record
 SKETCH = 16  # sketch values of title and of abstract
 SKETCH_AGREE = 6  # at a similarity of 2/3 fewer than 6 of 16 agree with p = 0.004 per key
@@ -41,14 +42,17 @@ def _least(words: Column, seed: int) -> Column:
     return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("bigint"))
 
 
-def records(df: DataFrame, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract") -> DataFrame:
-    """Comparable form of records: (rec, seq, id, doi, t, a, text)."""
+def records(df: DataFrame, common: Lookup, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract") -> DataFrame:
+    """Comparable form of records: (rec, seq, id, doi, t, a, rt, ra, text); rt and ra are the words that ``common`` lacks."""
     out = df.select(
         F.col(number).alias("rec"), seq.cast("bigint").alias("seq"), canonical_id(F.col(id_col)).alias("id"), canonical_doi(F.col(doi)).alias("doi"),
         comparable_words(F.col(title)).alias("tw"), abstract_words(F.col(abstract)).alias("aw"),
     )
     text = F.when(F.size("tw") + F.size("aw") > 0, F.md5(F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))))
-    return out.select("rec", "seq", "id", "doi", hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"), text.alias("text"))
+    return out.select(
+        "rec", "seq", "id", "doi", hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"),
+        hashed(rarer("tw", common)).alias("rt"), hashed(rarer("aw", common)).alias("ra"), text.alias("text"),
+    )
 
 
 def run_entries(recs: DataFrame) -> DataFrame:
@@ -63,11 +67,12 @@ def run_entries(recs: DataFrame) -> DataFrame:
     recs = recs.withColumns({"st": F.when(F.col("text").isNotNull(), sketch(F.col("t"), 1)), "sa": F.when(F.col("text").isNotNull(), sketch(F.col("a"), 2))})
     none = F.lit(None)
     exact = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.when(c.isNotNull(), _hex(F.xxhash64(c))).alias("key"))
-    # sort key j: a MinHash of the title, one of the abstract, two more of the title
+    # sort key j: two MinHashes of the rarer words of the abstract, then two of the title; words
+    # that many texts hold would put strangers between neighbours
     near = [
         F.struct(
             F.lit(f"near{j}").alias("kind"),
-            F.when(F.col("text").isNotNull(), F.concat(*[_hex(_least(F.col(c), s)) for c, s in (("t", j), ("a", j), ("t", 100 + j), ("t", 200 + j))])).alias("key"),
+            F.when(F.col("text").isNotNull(), F.concat(*[_hex(_least(F.col(c), s)) for c, s in (("ra", j), ("ra", 100 + j), ("rt", j), ("t", 200 + j))])).alias("key"),
         )
         for j in range(SORT_KEYS)
     ]
