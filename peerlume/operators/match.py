@@ -5,6 +5,7 @@ Edges exist inside an article only, so the join key is the article and never the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,23 +122,29 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def hungarian_matches(edges: DataFrame, threshold: float, group: tuple[str, ...] = ("model", "entry_no")) -> DataFrame:
     """One-to-one edges of the largest number and, among those, the largest total score.
 
-    Spark has no assignment operator, so each article is solved in one pandas group; edges below
-    the threshold never reach Python.
+    Edges whose concerns have no other edge are matched natively. Spark has no assignment operator
+    for the rest: they are gathered per group and solved in Arrow batches of many groups.
     """
     kinds = dict(edges.dtypes)
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, r = np.unique(pdf["tool_no"]), np.unique(pdf["ref_no"])
-        ti, ri = np.searchsorted(t, pdf["tool_no"]), np.searchsorted(r, pdf["ref_no"])
-        score = np.full((len(t), len(r)), -1.0)
-        score[ti, ri] = pdf["score"]
-        big = 2.0 * (min(score.shape) + 1)
-        cost = np.where(score >= threshold, 1.0 - score, big)
-        rows = [(*key, t[i], r[j], score[i, j]) for i, j in assignment(cost) if score[i, j] >= threshold]
-        return pd.DataFrame(rows, columns=[*group, "tool_no", "ref_no", "score"])
+    good = edges.where(F.col("score") >= threshold).select(*group, "tool_no", "ref_no", "score")
+    gathered = good.groupBy(*group).agg(*[F.collect_list(c).alias(c) for c in ("tool_no", "ref_no", "score")])
+    simple = (F.size("tool_no") == F.size(F.array_distinct("tool_no"))) & (F.size("ref_no") == F.size(F.array_distinct("ref_no")))
+    alone = gathered.where(simple).select(*group, F.explode(F.arrays_zip("tool_no", "ref_no", "score")).alias("e")).select(*group, "e.*")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for *key, tools, refs, scores in b.itertuples(index=False, name=None):
+                t, ti = np.unique(tools, return_inverse=True)
+                r, ri = np.unique(refs, return_inverse=True)
+                score = np.full((len(t), len(r)), -1.0)
+                score[ti, ri] = scores
+                cost = np.where(score >= threshold, 1.0 - score, 2.0 * (min(score.shape) + 1))
+                rows += [(*key, t[i], r[j], score[i, j]) for i, j in assignment(cost) if score[i, j] >= threshold]
+            yield pd.DataFrame(rows, columns=[*group, "tool_no", "ref_no", "score"])
 
     schema = ", ".join(f"{g} {kinds[g]}" for g in group) + f", tool_no {kinds['tool_no']}, ref_no {kinds['ref_no']}, score double"
-    return edges.where(F.col("score") >= threshold).groupBy(*group).applyInPandas(solve, schema)
+    return alone.unionByName(gathered.where(~simple).mapInPandas(solve, schema))
 
 
 def matches(edges: DataFrame, config: MatcherConfig) -> DataFrame:

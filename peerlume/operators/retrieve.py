@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,36 +12,30 @@ from peerlume.session import materialised
 K1, B, TOP_DOCS, TOP_CONCERNS = 1.5, 0.75, 8, 12
 
 
-@dataclass
-class Index:
-    """Inverted index: postings (term, doc, tf, len), terms (term, idf), and the mean length."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
+def build_index(docs: DataFrame, doc: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """Weighted postings (term, doc, weight); articles without a token are left out.
 
-def build_index(docs: DataFrame, doc: str, text: str) -> Index:
-    """``docs`` holds the articles that may be retrieved; those without a token are left out."""
+    Everything that does not depend on a query - idf, term frequency, length norm - is one number
+    per posting, so a search is a join and a sum.
+    """
     tok = docs.select(F.col(doc).alias("doc"), F.explode(retrieval_tokens(F.col(text))).alias("term"))
     tf = materialised(tok.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     length = tf.groupBy("doc").agg(F.sum("tf").alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.join(F.broadcast(stats), F.lit(True)).select("term", idf.alias("idf"))  # stats is one row
-    return Index(tf.join(length, "doc"), terms, stats)
+    joined = tf.join(length, "doc").join(terms, "term").join(F.broadcast(stats), F.lit(True))  # stats is one row
+    return joined.select("term", "doc", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 
-def search(index: Index, queries: DataFrame, query: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, query: str, text: str) -> DataFrame:
     """(query, doc, score) of every document that shares a term with a query; query terms count once.
 
     Postings meet the queries' terms only, and the sums combine on the map side.
     """
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(retrieval_tokens(F.col(text)))).alias("term"))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    hits = terms.join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.stats), F.lit(True))
-    return hits.groupBy("query", "doc").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
+    return terms.join(index, "term").groupBy("query", "doc").agg(F.sum("weight").alias("score"))
 
 
 def top_docs(hits: DataFrame, k: int = TOP_DOCS, accept: Column | None = None) -> DataFrame:
