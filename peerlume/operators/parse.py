@@ -47,7 +47,12 @@ def response_boundary(blocks: DataFrame, doc: str, number: str, place: str) -> D
 
 def _mapped(f, kind: str):
     """Arrow-batched function over the values of a column; made on use, since it needs a session."""
-    return F.pandas_udf(lambda c: c.map(f), returnType=kind, functionType=F.PandasUDFType.SCALAR)
+
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(f)
+
+    run.__annotations__ = {"c": pd.Series, "return": pd.Series}  # names, not strings, for the type of the function
+    return F.pandas_udf(run, returnType=kind)
 
 
 def json_array(text: str | None) -> list | None:
