@@ -42,15 +42,15 @@ def _least(words: Column, seed: int) -> Column:
     return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("bigint"))
 
 
-def records(df: DataFrame, common: Lookup, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract") -> DataFrame:
+def records(df: DataFrame, common: Lookup, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract", keep: tuple[str, ...] = ()) -> DataFrame:
     """Comparable form of records: (rec, seq, id, doi, t, a, rt, ra, text); rt and ra are the words that ``common`` lacks."""
     out = df.select(
-        F.col(number).alias("rec"), seq.cast("bigint").alias("seq"), canonical_id(F.col(id_col)).alias("id"), canonical_doi(F.col(doi)).alias("doi"),
+        *keep, F.col(number).alias("rec"), seq.cast("bigint").alias("seq"), canonical_id(F.col(id_col)).alias("id"), canonical_doi(F.col(doi)).alias("doi"),
         comparable_words(F.col(title)).alias("tw"), abstract_words(F.col(abstract)).alias("aw"),
     )
     text = F.when(F.size("tw") + F.size("aw") > 0, F.md5(F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))))
     return out.select(
-        "rec", "seq", "id", "doi", hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"),
+        *keep, "rec", "seq", "id", "doi", hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"),
         hashed(rarer("tw", common)).alias("rt"), hashed(rarer("aw", common)).alias("ra"), text.alias("text"),
     )
 
@@ -163,11 +163,10 @@ class History:
 
 def found_in_batches(history: History, recs: DataFrame, batch: str, batches: list[int]) -> DataFrame:
     """(rec) of all batches' records that are known, batch after batch; each is appended when checked."""
-    out = None
+    out = recs.select("rec").where(F.lit(False))
     for b in batches:
-        part = materialised(recs.where(F.col(batch) == b).drop(batch), f"batch-{b}")
-        known = materialised(history.known(part), f"known-{b}")
-        out = known if out is None else out.unionByName(known)
+        part = materialised(recs.where(F.col(batch).eqNullSafe(F.lit(b))).drop(batch), f"batch-{b}")
+        out = out.unionByName(materialised(history.known(part), f"known-{b}"))
         history.append(part)
         history.compact()
     return out

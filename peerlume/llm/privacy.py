@@ -15,6 +15,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,6 +88,10 @@ OTHER_NUMBER_CUES = frozenset("catalogue catalog grant accession registered doi
 OTHER_CUES = frozenset("et equation test curve cohort syndrome disease lysis buffer street al method model regression".split())
 
 CANDIDATE = "kind string, start int, stop int, left1 string, left2 string, right1 string, sure boolean, near boolean, tokens array<string>"
+_PERSON_NEAR = re.compile(r"\b(?:my|his|her|participant|volunteer|patient)\b", re.I)
+_TITLED = re.compile(TITLE + r"\s[A-Z]")
+_BREAK = re.compile(r"[.!?]\s|[\r\n]{2}")
+_TOKEN = re.compile(rf"[{_UP}{_LOW}’'-]{{2,}}")
 _CUE_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
@@ -98,43 +103,68 @@ def _cues(text: str, start: int, stop: int) -> tuple[str, str, str]:
     return (left[-1] if left else "^", " ".join(left) if left else "^", after[0].lower() if after else "$")
 
 
+class _Spans:
+    """Places in order of their start; none overlap, so a look takes a binary search."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, a)
+        return (k == 0 or self.stops[k - 1] <= a) and (k == len(self.starts) or self.starts[k] >= b)
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.stops.insert(k, b)
+
+    def within(self, a: int, b: int) -> bool:
+        """Whether any place touches [a, b)."""
+        return not self.free(a, b)
+
+    def next_start(self, a: int) -> int | None:
+        k = bisect_left(self.starts, a)
+        return self.starts[k] if k < len(self.starts) else None
+
+
 def candidates(text: str) -> list[tuple]:
     """Places of one text that may be personal, in the order of CANDIDATE; no two overlap."""
-    out, taken = [], []
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+    out, taken, firm = [], _Spans(), _Spans()
     for kind, pattern in (("email", EMAIL), ("phone", PHONE), ("street_address", ADDRESS)):
         for m in pattern.finditer(text):
-            if free(*m.span()):
-                taken.append(m.span())
+            if taken.free(*m.span()):
+                taken.add(*m.span())
+                firm.add(*m.span())
                 out.append((kind, *m.span(), "", "", "", True, False, []))
-    firm = list(taken)
     for m in NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 6 and free(*m.span()):
-            taken.append(m.span())
+        if sum(c.isdigit() for c in m[0]) >= 6 and taken.free(*m.span()):
             a, b = m.span()
+            taken.add(a, b)
             left1, left2, right = _cues(text, a, b)
-            sentence = text[max(0, a - 120) : b + 60].lower()
-            near = any(x - 80 < b and y + 80 > a for x, y in firm) or bool(re.search(r"\b(?:my|his|her|participant|volunteer|patient)\b", sentence)) or bool(re.search(TITLE + r"\s[A-Z]", text[max(0, a - 80) : a]))
+            near = firm.within(max(0, a - 80), b + 80) or bool(_PERSON_NEAR.search(text, max(0, a - 120), b + 60)) or bool(_TITLED.search(text, max(0, a - 80), a))
             out.append(("id_number", a, b, left1, left2, right, False, near, []))
-            firm.append((a, b)) if left2 in NUMBER_CUES or left1 in NUMBER_CUES else None
+            if left2 in NUMBER_CUES or left1 in NUMBER_CUES:
+                firm.add(a, b)
     for m in LOWER_NAME.finditer(text):
         a, b = m.span("name")
-        if free(a, b):
-            taken.append((a, b))
+        if taken.free(a, b):
+            taken.add(a, b)
             out.append(("person_name", a, b, "", "", "", True, False, m["name"].title().split()))
     for m in NAME.finditer(text):
         a, b = m.span()
         titled = m["titled"] is not None
         if titled:
             a = m.end("titled")
-        if not free(a, b):
+        if not taken.free(a, b):
             continue
         left1, left2, right = _cues(text, m.start(), b)
         # an entity right behind the name, with nothing but a cue word or two in between
-        near = any(0 <= x - b <= 34 and not re.search(r"[.!?]\s|[\r\n]{2}", text[b:x]) for x, _ in firm)
-        tokens = [w.title() for w in re.findall(rf"[{_UP}{_LOW}’'-]{{2,}}", text[a:b]) if w[0].isupper()]
+        x = firm.next_start(b)
+        near = x is not None and x - b <= 34 and not _BREAK.search(text, b, x)
+        tokens = [w.title() for w in _TOKEN.findall(text, a, b) if w[0].isupper()]
         if titled or len(tokens) > 1:
-            taken.append((a, b))
+            taken.add(a, b)
             out.append(("person_name", a, b, left1, left2, right, titled, near, tokens))
     return out
 

@@ -233,10 +233,9 @@ def _history(spark: SparkSession, sf_dir: str, common: tokens.Lookup) -> history
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming rows that are known, checked batch by batch."""
     incoming = table(spark, sf_dir, "incoming")
-    batches = [r.batch_no for r in incoming.select("batch_no").distinct().orderBy("batch_no").collect()]  # batches are few: one per delivery
+    batches = [r.batch_no for r in incoming.select("batch_no").distinct().orderBy(F.asc_nulls_last("batch_no")).collect()]  # batches are few: one per delivery
     common = overlap.common_words(table(spark, sf_dir, "articles"), F.col("title"), F.col("abstract"))
-    recs = history.records(incoming, common, "incoming_no", F.col("incoming_no"))
-    recs = recs.join(incoming.select(F.col("incoming_no").alias("rec"), "batch_no"), "rec")
+    recs = history.records(incoming, common, "incoming_no", F.col("incoming_no"), keep=("batch_no",))
     return history.found_in_batches(_history(spark, sf_dir, common), recs, "batch_no", batches).select(F.col("rec").alias("incoming_no"))
 
 
