@@ -21,8 +21,11 @@ from peerlume.llm.tokens import Lookup
 from peerlume.session import materialised
 
 SIMILAR = 0.64  # "about two thirds": slack for a word or two in short titles
-BANDS, ROWS = 30, 4  # over the rarer words: a pair of similarity 0.6 shares a band with p = 0.985, of 0.7 with 0.9998
+SLACK = 1e-9  # rounding of products with SIMILAR never shortens a prefix or tightens a bound
+FREQUENT_SHARE = 0.001  # title words in more of the records than this have their counts in the literal table
 COMMON_SHARE = 0.1  # words in more than 10 % of the records (and in more than 64) tell little about a text
+SKETCH = 4  # 64-bit words of the parity sketch of an abstract; a title has one
+CELL = 2_000  # texts of one side that share a key and are compared in one task
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -55,61 +58,100 @@ def rarer(words: str, common: Lookup) -> Column:
     return F.transform(F.array(rare), lambda r: F.when(F.size(r) > 0, r).otherwise(F.col(words)))[0]
 
 
-def text_classes(df: DataFrame, record: Column, title: Column, abstract: Column, common: Lookup) -> DataFrame:
-    """(record_no, class_id, t, a, ra): class_id hashes the canonical title and abstract, t and a
-    are word hashes, ra those of the rarer words of the abstract.
+def word_counts(df: DataFrame, title: Column) -> Lookup:
+    """How many titles hold each word that is in more than FREQUENT_SHARE of them, as a literal table.
 
-    Records with neither title nor abstract words are left out.
+    Each title has each of its words once, so there are at most 1000 x (mean number of words) of
+    them, however large the corpus is. Words that are not in it are rarer than those that are.
     """
-    out = df.select(record.alias("record_no"), comparable_words(title).alias("tw"), abstract_words(abstract).alias("aw"))
-    out = out.where((F.size("tw") > 0) | (F.size("aw") > 0))
-    text = F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))
-    return out.select(
-        "record_no", F.md5(text).alias("class_id"), hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"), hashed(rarer("aw", common)).alias("ra")
-    )
+    words = df.select(comparable_words(title).alias("w"))
+    least = max(16, int(words.count() * FREQUENT_SHARE))
+    counts = words.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).collect()
+    return Lookup({r.w: [min(r.n, 2**31 - 1)] for r in counts})
+
+
+def prefix(words: Column, counts: Lookup) -> Column:
+    """Hashes of the first words by frequency, so many that two texts of SIMILAR words share one.
+
+    At a Jaccard of s, n words have s n in common with the other text at least, so of the first
+    n - ceil(s n) + 1 in one order for all texts one is shared. The order (frequency, hash) only
+    has to be the same for all texts; counts that lag behind the corpus cost time, never pairs.
+    """
+    ranked = counts.bind(lambda t: F.array_sort(F.transform(words, lambda w: F.struct(F.coalesce(t.first(w), F.lit(0)).alias("n"), F.xxhash64(w).alias("h")))))
+    n = F.size(words)
+    least = F.ceil(F.lit(SIMILAR) * n - SLACK)
+    return F.slice(F.transform(ranked, lambda x: x["h"]), F.lit(1), F.when(n > 0, n - least + 1).otherwise(0).cast("int"))
+
+
+def match_keys(title_words: str, abstract_words_: str, counts: Lookup) -> Column:
+    """Keys of which two nearly equal texts share one: the prefix of the title, without title words that of the abstract."""
+    return F.when(F.size(title_words) > 0, prefix(F.col(title_words), counts)).otherwise(prefix(F.col(abstract_words_), counts))
 
 
-def band_keys(words: str) -> Column:
-    """MinHash band keys of an array of word hashes."""
+def parity(words: Column, size: int) -> list[Column]:
+    """``size`` 64-bit words whose bits are the parities of so many buckets of word hashes.
+
+    A bit in which two sketches differ takes a word that only one text has, another one for each
+    bit, so the number of such bits never exceeds the number of differing words.
+    """
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))
+    of = lambda w: F.pmod(F.shiftright(w, 8), F.lit(size))
+    part = lambda i: F.aggregate(words, F.lit(0).cast("bigint"), lambda x, w: F.when(of(w) == i, x.bitwiseXOR(bit(w))).otherwise(x))
+    return [part(i) for i in range(size)]
+
+
+def sketch(t: str, a: str) -> Column:
+    """Sizes and parity sketches of a text of word hashes, for :func:`may_match`."""
+    sketches = [*parity(F.col(t), 1), *parity(F.col(a), SKETCH)]
+    return F.struct(F.size(t).cast("short").alias("nt"), F.size(a).cast("short").alias("na"), *[x.alias(f"s{i}") for i, x in enumerate(sketches)])
+
+
+def differing(x: Column, y: Column) -> tuple[Column, Column]:
+    """Least numbers of words in which the titles and the abstracts of two sketched texts differ."""
+    bits = [F.bit_count(x[f"s{i}"].bitwiseXOR(y[f"s{i}"])) for i in range(1 + SKETCH)]
+    return bits[0], sum(bits[2:], bits[1])
 
-    def band(b: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), lambda r: F.array_min(F.transform(words, lambda w: F.xxhash64(w, b * ROWS + r))))
-        return F.xxhash64(b, least)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+def may_match(x: Column, y: Column) -> Column:
+    """False only for two sketched texts that are not nearly equal: texts of m and n words with a
+    Jaccard of s differ in (m + n) (1 - s) / (1 + s) words at most."""
+    share = (1 - SIMILAR) / (1 + SIMILAR)
+    titles, abstracts = differing(x, y)
+    return (titles <= (x["nt"] + y["nt"]) * F.lit(share) + SLACK) & (abstracts <= (x["na"] + y["na"]) * F.lit(share) + SLACK)
 
 
-def title_keys(classes: DataFrame) -> DataFrame:
-    """(class_id, key) for classes without an abstract: pairs of their rarest title words.
+def text_classes(df: DataFrame, record: Column, title: Column, abstract: Column, counts: Lookup) -> DataFrame:
+    """(record_no, class_id, t, a, ks): class_id hashes the canonical title and abstract, t and a
+    are word hashes, ks the keys of the text.
 
-    Prefix filter: of two titles of similarity s, sorted by word frequency, the first
-    n - ceil(s n) + 2 words have two in common; titles of one word give that word.
+    Records with neither title nor abstract words are left out.
     """
-    words = classes.select("class_id", F.explode("t").alias("word"))
-    count = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    sorted_ = words.join(count, "word").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws"), F.count(F.lit(1)).alias("n"))
-    first = F.slice("ws", 1, (F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n")) + 2).cast("int"))
-    some = sorted_.select("class_id", "n", F.transform(first, lambda x: x["word"]).alias("w"))
-    pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    return some.select("class_id", F.explode(F.when(F.col("n") < 3, F.transform("w", lambda x: F.xxhash64(x))).otherwise(pairs)).alias("key"))
+    out = df.select(record.alias("record_no"), comparable_words(title).alias("tw"), abstract_words(abstract).alias("aw"))
+    out = out.where((F.size("tw") > 0) | (F.size("aw") > 0))
+    text = F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))
+    return out.select(
+        "record_no", F.md5(text).alias("class_id"), hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"), match_keys("tw", "aw", counts).alias("ks")
+    )
 
 
 def near_classes(classes: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs (one, other) of different classes that are nearly equal; the flags ``left`` and ``right`` tell the sides.
 
-    Candidates share a MinHash band of the rarer words of their abstracts, so neither words that
-    half of all texts hold nor titles that thousands of articles share make large groups; without
-    abstracts two rare title words are the key. Nothing is capped, and every candidate is compared
-    word by word.
+    Exact: every pair that meets the criterion shares a key of its titles (see :func:`prefix`) and
+    passes the sketches, which drop no such pair; what is left is compared word by word. A key
+    that many texts share is cut into a grid of cells, each of CELL texts a side at most on
+    average, so that no task holds all its comparisons. A pair is met once, at its first common key.
     """
-    by_abstract = classes.where(F.size("a") > 0).select("class_id", F.explode(band_keys("ra")).alias("key"))
-    by_title = title_keys(classes.where(F.size("a") == 0))
-    sides = classes.select("class_id", left, right, F.size("t").cast("short").alias("nt"), F.size("a").cast("short").alias("na"))
-    keyed = by_abstract.unionByName(by_title).join(sides, "class_id")
-    l = keyed.where(left).select("key", F.col("class_id").alias("one"), F.col("nt").alias("nt1"), F.col("na").alias("na1"))
-    r = keyed.where(right).select("key", F.col("class_id").alias("other"), F.col("nt").alias("nt2"), F.col("na").alias("na2"))
-    fits = lambda x, y: (F.least(x, y) >= F.lit(SIMILAR) * F.greatest(x, y))
-    pairs = l.join(r, "key").where((F.col("one") != F.col("other")) & fits("nt1", "nt2") & fits("na1", "na2")).select("one", "other").distinct()
+    keyed = classes.select("class_id", left, right, "ks", sketch("t", "a").alias("k")).withColumn("key", F.explode("ks"))
+    sides = keyed.groupBy("key").agg(F.count_if(left).alias("nl"), F.count_if(right).alias("nr")).where("nl > 0 and nr > 0")
+    grid = sides.select("key", F.ceil(F.col("nl") / CELL).cast("int").alias("rows"), F.ceil(F.col("nr") / CELL).cast("int").alias("cols"))
+    keyed = keyed.join(grid, "key")
+    place = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = keyed.where(left).select("key", place("rows").alias("row"), every("cols").alias("col"), F.col("class_id").alias("one"), F.col("k").alias("k1"), F.col("ks").alias("ks1"))
+    r = keyed.where(right).select("key", every("rows").alias("row"), place("cols").alias("col"), F.col("class_id").alias("other"), F.col("k").alias("k2"), F.col("ks").alias("ks2"))
+    first = F.array_intersect("ks1", "ks2")[0] == F.col("key")
+    pairs = l.join(r, ["key", "row", "col"]).where((F.col("one") != F.col("other")) & may_match(F.col("k1"), F.col("k2")) & first).select("one", "other")
     content = classes.select("class_id", "t", "a")
     full = pairs.join(content.withColumnsRenamed({"class_id": "one", "t": "t1", "a": "a1"}), "one").join(
         content.withColumnsRenamed({"class_id": "other", "t": "t2", "a": "a2"}), "other"
@@ -133,9 +175,9 @@ def overlaps(df: DataFrame, train: str = "train", evaluation: tuple[str, ...] =
         dois.where("side = 'e'").select("doi", F.col("entry_no").alias("eval_no")), "doi"
     ).select("train_no", "eval_no")
 
-    common = common_words(rows, F.col("title"), F.col("abstract"))
+    counts = word_counts(rows, F.col("title"))
     texts = materialised(
-        text_classes(rows, F.struct("entry_no", "side"), F.col("title"), F.col("abstract"), common).select("record_no.*", "class_id", "t", "a", "ra"), "overlap-texts"
+        text_classes(rows, F.struct("entry_no", "side"), F.col("title"), F.col("abstract"), counts).select("record_no.*", "class_id", "t", "a", "ks"), "overlap-texts"
     )
     members = texts.select("entry_no", "side", "class_id")
     same = members.where("side = 't'").select("class_id", F.col("entry_no").alias("train_no")).join(
@@ -144,7 +186,7 @@ def overlaps(df: DataFrame, train: str = "train", evaluation: tuple[str, ...] =
 
     classes = materialised(
         texts.groupBy("class_id").agg(
-            F.any_value("t").alias("t"), F.any_value("a").alias("a"), F.any_value("ra").alias("ra"),
+            F.any_value("t").alias("t"), F.any_value("a").alias("a"), F.any_value("ks").alias("ks"),
             F.max(F.col("side") == "t").alias("has_train"), F.max(F.col("side") == "e").alias("has_eval"),
         ),
         "overlap-classes",
