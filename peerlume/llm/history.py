@@ -1,9 +1,10 @@
 """Deduplicating new batches against all history.
 
 The history is kept as sorted runs of keys: every record gives exact keys (id, DOI, text hash) and
-several sort keys of its title and abstract. A run is written by key range; a new batch is merged
-into the ranges it touches, compared only inside windows around its own records, and appended as
-a run. Runs are compacted now and then, so that a range never consists of many small files.
+the prefix keys of its title (without a title, of its abstract), of which two nearly equal texts
+share one at least (:func:`peerlume.llm.overlap.prefix`). A run is written by key range; a new batch
+is compared with all entries of its keys in the ranges it touches and appended as a run. Runs are
+compacted now and then, so that a range never consists of many small files.
 
 Defined results: NULL, blank and stand-in ids, DOIs and texts name nothing; a record is known if an
 earlier one (history, or a lower number in this or an earlier batch) has the same id, the same DOI
@@ -15,22 +16,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import abstract_words, canonical_doi, canonical_id, comparable_words
-from peerlume.llm.overlap import hashed, rarer, similar
+from peerlume.llm.overlap import differing, hashed, match_keys, may_match, similar, sketch
 from peerlume.llm.tokens import Lookup
 from peerlume.session import materialised, shared_table_path
 
-SORT_KEYS = 8  # independent sort keys of a text
-WINDOW = 6  # neighbours looked at on either side of a record
-SKETCH = 16  # sketch values of title and of abstract
-SKETCH_AGREE = 6  # at a similarity of 2/3 fewer than 6 of 16 agree with p = 0.004 per key
+SALTS = 16  # parts in which the entries of one key are compared with a batch
 RANGES = 16  # key ranges (first hexadecimal digit of a key)
 COMPACT_AFTER = 3  # runs beyond the base run
 
-RUN = "kind string, key string, seq bigint, rec bigint, text string, st array<int>, sa array<int>, range string"
+RUN = "kind string, key string, seq bigint, rec bigint, text string, sk struct<nt:smallint,na:smallint,s0:bigint,s1:bigint,s2:bigint,s3:bigint,s4:bigint>, range string"
 BEFORE_ALL = -1  # sequence number of everything accepted before the first batch
 
 
@@ -38,12 +36,8 @@ def _hex(c: Column) -> Column:
     return F.lpad(F.hex(c), 16, "0")
 
 
-def _least(words: Column, seed: int) -> Column:
-    return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))), F.lit(0).cast("bigint"))
-
-
-def records(df: DataFrame, common: Lookup, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Comparable form of records: (rec, seq, id, doi, t, a, rt, ra, text); rt and ra are the words that ``common`` lacks."""
+def records(df: DataFrame, counts: Lookup, number: str, seq: Column, id_col: str = "id", doi: str = "doi", title: str = "title", abstract: str = "abstract", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Comparable form of records: (rec, seq, id, doi, t, a, ks, text); ks are the keys of the text."""
     out = df.select(
         *keep, F.col(number).alias("rec"), seq.cast("bigint").alias("seq"), canonical_id(F.col(id_col)).alias("id"), canonical_doi(F.col(doi)).alias("doi"),
         comparable_words(F.col(title)).alias("tw"), abstract_words(F.col(abstract)).alias("aw"),
@@ -51,37 +45,31 @@ def records(df: DataFrame, common: Lookup, number: str, seq: Column, id_col: str
     text = F.when(F.size("tw") + F.size("aw") > 0, F.md5(F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))))
     return out.select(
         *keep, "rec", "seq", "id", "doi", hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"),
-        hashed(rarer("tw", common)).alias("rt"), hashed(rarer("aw", common)).alias("ra"), text.alias("text"),
+        match_keys("tw", "aw", counts).alias("ks"), text.alias("text"),
     )
 
 
 def run_entries(recs: DataFrame) -> DataFrame:
-    """The run entries of records: exact keys and sort keys, each with its range.
+    """The run entries of records: exact keys and prefix keys, each with its range.
 
     Entries that differ in nothing but the record keep the earliest one, so a text or id that a
     third of all records share is one entry.
     """
-    sketch = lambda c, salt: F.transform(
-        F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.array_min(F.transform(c, lambda w: F.hash(w, F.lit(salt), i))), F.lit(0))
-    )
-    recs = recs.withColumns({"st": F.when(F.col("text").isNotNull(), sketch(F.col("t"), 1)), "sa": F.when(F.col("text").isNotNull(), sketch(F.col("a"), 2))})
+    recs = recs.withColumn("sk", F.when(F.col("text").isNotNull(), sketch("t", "a")))
     none = F.lit(None)
     exact = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.when(c.isNotNull(), _hex(F.xxhash64(c))).alias("key"))
-    # sort key j: two MinHashes of the rarer words of the abstract, then two of the title; words
-    # that many texts hold would put strangers between neighbours
-    near = [
-        F.struct(
-            F.lit(f"near{j}").alias("kind"),
-            F.when(F.col("text").isNotNull(), F.concat(*[_hex(_least(F.col(c), s)) for c, s in (("ra", j), ("ra", 100 + j), ("rt", j), ("t", 200 + j))])).alias("key"),
-        )
-        for j in range(SORT_KEYS)
-    ]
-    keys = F.array(exact("id", F.col("id")), exact("doi", F.col("doi")), exact("text", F.col("text")), *near)
-    out = recs.select("seq", "rec", "text", "st", "sa", F.explode(keys).alias("k")).select("k.*", "seq", "rec", "text", "st", "sa").where("key is not null")
-    is_near = F.col("kind").startswith("near")
-    out = out.withColumns({c: F.when(is_near, F.col(c)).otherwise(none) for c in ("text", "st", "sa")})
-    first = out.groupBy("kind", "key", "text").agg(F.min_by(F.struct("seq", "rec", "st", "sa"), F.struct("seq", "rec")).alias("r"))
-    return first.select("kind", "key", "r.seq", "r.rec", "text", "r.st", "r.sa", F.substring("key", 1, 1).alias("range"))
+    near = F.when(F.col("text").isNotNull(), F.transform("ks", lambda k: F.struct(F.lit("near").alias("kind"), _hex(k).alias("key"))))
+    keys = F.concat(F.array(exact("id", F.col("id")), exact("doi", F.col("doi")), exact("text", F.col("text"))), F.coalesce(near, F.array()))
+    out = recs.select("seq", "rec", "text", "sk", F.explode(keys).alias("k")).select("k.*", "seq", "rec", "text", "sk").where("key is not null")
+    is_near = F.col("kind") == "near"
+    out = out.withColumns({c: F.when(is_near, F.col(c)).otherwise(none) for c in ("text", "sk")})
+    return _earliest(out)
+
+
+def _earliest(entries: DataFrame) -> DataFrame:
+    """Equal entries once, with their earliest record."""
+    first = entries.groupBy("kind", "key", "text").agg(F.min_by(F.struct("seq", "rec", "sk"), F.struct("seq", "rec")).alias("r"))
+    return first.select("kind", "key", "r.seq", "r.rec", "text", "r.sk", F.substring("key", 1, 1).alias("range"))
 
 
 class History:
@@ -119,8 +107,7 @@ class History:
         """Merge all runs into one; equal entries keep the earliest record."""
         if len(self.runs) <= COMPACT_AFTER + 1:
             return
-        merged = self.entries().groupBy("kind", "key", "text").agg(F.min_by(F.struct("seq", "rec", "st", "sa"), F.struct("seq", "rec")).alias("r"))
-        merged = merged.select("kind", "key", "r.seq", "r.rec", "text", "r.st", "r.sa", F.substring("key", 1, 1).alias("range"))
+        merged = _earliest(self.entries())
         run = f"{self.path}/compacted-{len(self.texts)}"
         merged.repartition("range").sortWithinPartitions("range", "kind", "key").write.partitionBy("range").parquet(run)
         self.runs = [run]
@@ -128,7 +115,6 @@ class History:
     def known(self, recs: DataFrame) -> DataFrame:
         """(rec) of the batch's records that are known; ``recs`` must be a written table."""
         batch = materialised(run_entries(recs), "batch-run")
-        mine = recs.select("rec", "seq")
         exact_kinds = F.col("kind").isin("id", "doi", "text")
 
         # exact keys: the earliest holder of each key, in history or in the batch itself
@@ -139,26 +125,26 @@ class History:
         own = own.select("rec", "seq", "k.*").where("key is not null")
         exact = materialised(own.join(earliest, ["kind", "key"]).where("first < seq").select("rec").distinct(), "known-exactly")
 
-        # windows around the other records; only the key ranges of the batch are read
-        left = mine.join(exact, "rec", "left_anti")
+        # all entries that share a prefix key with the other records; only the key ranges of the batch are read
         new = batch.where(~exact_kinds)
-        ranges = [r.range for r in new.select("range").distinct().collect()]  # at most RANGES values
+        mine = new.join(exact, "rec", "left_anti")
+        ranges = [r.range for r in mine.select("range").distinct().collect()]  # at most RANGES values
         old = self.entries().where(~exact_kinds & F.col("range").isin(ranges))
-        both = old.select("*", F.lit(False).alias("is_new")).unionByName(new.select("*", F.lit(True).alias("is_new")))
-        # a range is cut finer than its folder so that no window partition holds a whole range
-        both = both.withColumn("cell", F.substring("key", 1, 3))
-        order = Window.partitionBy("kind", "cell").orderBy("key", "text", "seq")
-        item = F.struct("rec", "seq", "st", "sa", "text")
-        around = F.array_compact(F.array(*[f(item, i).over(order) for i in range(1, WINDOW + 1) for f in (F.lag, F.lead)]))
-        near = both.select("rec", "seq", "st", "sa", "text", "is_new", around.alias("n")).where("is_new").select("rec", "seq", "st", "sa", F.explode("n").alias("n"))
-        agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda z: z))
-        close = (F.col("n.seq") < F.col("seq")) & (agree("st", F.col("n.st")) >= SKETCH_AGREE) & (agree("sa", F.col("n.sa")) >= SKETCH_AGREE)
-        pairs = near.where(close).select("rec", F.col("n.rec").alias("other"), F.col("n.seq").alias("other_seq")).distinct()
-        pairs = pairs.join(left.select("rec"), "rec", "left_semi")
+        others = old.unionByName(new).select("key", F.col("seq").alias("other_seq"), F.col("rec").alias("other"), F.col("sk").alias("k2"), F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt"))
+        mine = mine.select("key", "seq", "rec", F.col("sk").alias("k1"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        pairs = mine.join(others, ["key", "salt"]).where((F.col("other_seq") < F.col("seq")) & may_match(F.col("k1"), F.col("k2")))
+        titles, abstracts = differing(F.col("k1"), F.col("k2"))
+        pairs = materialised(pairs.select("rec", "other", "other_seq", (titles + abstracts).alias("far")).distinct(), "near-pairs")
+
+        # word by word: first with the record's likeliest other, then, where that is none, with all others
         content = self.contents().unionByName(recs.where("text is not null").select("rec", "seq", "t", "a"))
         content = content.select(F.col("rec").alias("other"), F.col("seq").alias("other_seq"), F.col("t").alias("t2"), F.col("a").alias("a2"))
-        full = pairs.join(recs.select("rec", F.col("t").alias("t1"), F.col("a").alias("a1")), "rec").join(content, ["other", "other_seq"])
-        return exact.unionByName(full.where(similar("t1", "a1", "t2", "a2")).select("rec")).distinct()
+        words = recs.select("rec", F.col("t").alias("t1"), F.col("a").alias("a1"))
+        same = lambda p: p.join(words, "rec").join(content, ["other", "other_seq"]).where(similar("t1", "a1", "t2", "a2")).select("rec").distinct()
+        likeliest = pairs.groupBy("rec").agg(F.min(F.struct("far", "other_seq", "other")).alias("o")).select("rec", "o.other", "o.other_seq")
+        near = materialised(same(likeliest), "known-nearly")
+        rest = same(pairs.join(near, "rec", "left_anti").select("rec", "other", "other_seq"))
+        return exact.unionByName(near).unionByName(rest).distinct()
 
 
 def found_in_batches(history: History, recs: DataFrame, batch: str, batches: list[int]) -> DataFrame:

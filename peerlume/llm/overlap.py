@@ -23,7 +23,6 @@ from peerlume.session import materialised
 SIMILAR = 0.64  # "about two thirds": slack for a word or two in short titles
 SLACK = 1e-9  # rounding of products with SIMILAR never shortens a prefix or tightens a bound
 FREQUENT_SHARE = 0.001  # title words in more of the records than this have their counts in the literal table
-COMMON_SHARE = 0.1  # words in more than 10 % of the records (and in more than 64) tell little about a text
 SKETCH = 4  # 64-bit words of the parity sketch of an abstract; a title has one
 CELL = 2_000  # texts of one side that share a key and are compared in one task
 
@@ -40,24 +39,6 @@ def hashed(words: Column) -> Column:
     return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def common_words(df: DataFrame, title: Column, abstract: Column) -> Lookup:
-    """The words in more than COMMON_SHARE of the records, as a literal table.
-
-    Each record has each of its words once, so there are at most 10 x (mean number of words) of
-    them, however large the corpus is.
-    """
-    words = df.select(F.array_union(comparable_words(title), abstract_words(abstract)).alias("w"))
-    least = max(64, int(words.count() * COMMON_SHARE))
-    common = words.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("w").collect()
-    return Lookup({r.w: [1] for r in common})
-
-
-def rarer(words: str, common: Lookup) -> Column:
-    """Words without the common ones, or all of them where none would be left."""
-    rare = common.bind(lambda t: F.filter(words, lambda w: t.slot(w) < 0))
-    return F.transform(F.array(rare), lambda r: F.when(F.size(r) > 0, r).otherwise(F.col(words)))[0]
-
-
 def word_counts(df: DataFrame, title: Column) -> Lookup:
     """How many titles hold each word that is in more than FREQUENT_SHARE of them, as a literal table.
 

@@ -218,14 +218,14 @@ def p9_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(measured).select("doc_id", "language", F.array_join("signs", ", ").alias("signs"), "prose_share")
 
 
-def _history(spark: SparkSession, sf_dir: str, common: tokens.Lookup) -> history.History:
+def _history(spark: SparkSession, sf_dir: str, counts: tokens.Lookup) -> history.History:
     """Everything accepted before the first batch: all articles and all collected ids."""
-    articles = history.records(table(spark, sf_dir, "articles"), common, "entry_no", F.lit(history.BEFORE_ALL))
+    articles = history.records(table(spark, sf_dir, "articles"), counts, "entry_no", F.lit(history.BEFORE_ALL))
     ids = table(spark, sf_dir, "source_state").select(F.explode("collected_ids").alias("id")).where("id is not null").distinct()
     empty = F.lit(None).cast("string")
     ids = ids.select(F.lit(None).cast("bigint").alias("entry_no"), "id", empty.alias("doi"), empty.alias("title"), empty.alias("abstract"))
     out = history.History(spark)
-    out.append(materialised(articles.unionByName(history.records(ids, common, "entry_no", F.lit(history.BEFORE_ALL))), "history-records"))
+    out.append(materialised(articles.unionByName(history.records(ids, counts, "entry_no", F.lit(history.BEFORE_ALL))), "history-records"))
     return out
 
 
@@ -234,9 +234,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming rows that are known, checked batch by batch."""
     incoming = table(spark, sf_dir, "incoming")
     batches = [r.batch_no for r in incoming.select("batch_no").distinct().orderBy(F.asc_nulls_last("batch_no")).collect()]  # batches are few: one per delivery
-    common = overlap.common_words(table(spark, sf_dir, "articles"), F.col("title"), F.col("abstract"))
-    recs = history.records(incoming, common, "incoming_no", F.col("incoming_no"), keep=("batch_no",))
-    return history.found_in_batches(_history(spark, sf_dir, common), recs, "batch_no", batches).select(F.col("rec").alias("incoming_no"))
+    counts = overlap.word_counts(table(spark, sf_dir, "articles"), F.col("title"))
+    recs = history.records(incoming, counts, "incoming_no", F.col("incoming_no"), keep=("batch_no",))
+    return history.found_in_batches(_history(spark, sf_dir, counts), recs, "batch_no", batches).select(F.col("rec").alias("incoming_no"))
 
 
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

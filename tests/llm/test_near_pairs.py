@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from peerlume.llm import overlap
+from peerlume.llm import history, overlap
 
 SCHEMA = "entry_no bigint, doi string, title string, abstract string, split string"
 
@@ -66,3 +66,23 @@ def test_missing_titles_meet_by_abstract(spark):
     a = [f"w{i}" for i in range(50)]
     rows = [(1, None, None, " ".join(a), "train"), (2, None, "", " ".join(_edited(rng, a, 10)), "val"), (3, None, "a title", " ".join(a), "val")]
     assert found(spark, rows) == {(1, 2)}
+
+
+def test_batches_against_history_find_what_brute_force_finds(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    split = lambda i: "train" if i < 400 else "test"
+    words = [(rng.sample(vocabulary, 10), rng.sample(vocabulary, 100)) for _ in range(400)]
+    # in the history half of the articles share title words; the incoming ones are edits at J = 0.64 - 0.75 and just below
+    words = [(t[:3] + ["on", "the", "new", "way"] + t[7:], a) if i % 2 else (t, a) for i, (t, a) in enumerate(words)]
+    words += [(_edited(rng, t, rng.randrange(3)), _edited(rng, a, rng.randrange(14, 25))) for t, a in words[:200]]
+    rows = [(i, None, " ".join(t), " ".join(a), split(i)) for i, (t, a) in enumerate(words)]
+    want = {y for _, y in brute_force(rows)}
+    assert 50 < len(want) < 200
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(None).cast("string"))
+    counts = overlap.word_counts(df, F.col("title"))
+    past = history.History(spark)
+    past.append(history.records(df.where("split = 'train'"), counts, "entry_no", F.lit(history.BEFORE_ALL)))
+    new = df.where("split = 'test'").withColumn("batch", F.col("entry_no") % 2)
+    recs = history.records(new, counts, "entry_no", F.col("entry_no"), keep=("batch",))
+    assert {r.rec for r in history.found_in_batches(past, recs, "batch", [0, 1]).collect()} == want
