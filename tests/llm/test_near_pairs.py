@@ -86,3 +86,8 @@ def test_batches_against_history_find_what_brute_force_finds(spark):
     new = df.where("split = 'test'").withColumn("batch", F.col("entry_no") % 2)
     recs = history.records(new, counts, "entry_no", F.col("entry_no"), keep=("batch",))
     assert {r.rec for r in history.found_in_batches(past, recs, "batch", [0, 1]).collect()} == want
+
+
+def test_short_titles_without_abstracts(spark):
+    rows = [(1, None, "zinc uptake", None, "train"), (2, None, "zinc uptake kinetics", None, "test"), (3, None, "zinc", None, "test"), (4, None, "lead", None, "train")]
+    assert found(spark, rows) == {(1, 2)} == brute_force(rows)
