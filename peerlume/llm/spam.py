@@ -52,6 +52,8 @@ FEATURES = (
     "kinds int, separators int, hashes int, short_lines double, lines int, same_lines double"
 )
 LEAST_TOP = 0.055  # no language has a lower limit for its top word
+SAME_LINES = 0.5  # share of lines that repeat an earlier one, from which lines count as duplicated
+LEAST_LINES = 4  # fewer lines are too few to tell
 PROSE_SHARE = 0.15  # least share of function words in a sentence
 
 
@@ -79,7 +81,8 @@ def measure(text: str) -> tuple:
     lines = [x for x in _LINE.split(plain) if x.strip()]
     short = sum(len(x.split()) <= 5 and x.rstrip()[-1:] not in ".!?" for x in lines) / max(len(lines), 1)
     same = 1 - len({x.strip().lower() for x in lines}) / max(len(lines), 1)
-    repeated = top >= LEAST_TOP
+    duplicated = len(lines) >= LEAST_LINES and same >= SAME_LINES
+    repeated = top >= LEAST_TOP or duplicated
     pairs = sum(v for v in Counter(zip(words, words[1:])).values() if v >= 3) / max(n, 1) if repeated else 0.0
     possible = links >= 5 or hashes >= 8 or separators >= max(12, 0.25 * n) or repeated or (len(lines) >= 12 and short >= 0.7)
     prose = _prose_words(plain, ideographs) if possible else n + ideographs
@@ -143,14 +146,16 @@ def spam_pages(measured: DataFrame) -> DataFrame:
     repeated = F.col("top") >= F.coalesce("most_top", F.lit(LEAST_TOP))
     stuffed = (F.col("n") >= F.when(F.col("language") == "cjk", 40).otherwise(60)) & (F.col("kinds") <= 45) & repeated
     prose = F.when(stuffed, F.lit(0.0)).otherwise(F.col("prose") / units)
+    duplicated = (F.col("lines") >= LEAST_LINES) & (F.col("same_lines") >= SAME_LINES)
     few_function = F.col("function_share") < F.coalesce("least_function", F.lit(0.15))
     signs = F.array_compact(
         F.array(
             F.when((F.col("links") >= 5) & (F.col("links") * LINK_UNITS >= 0.3 * units), F.lit("links")),
             F.when((F.col("hashes") >= 8) & (F.col("hashes") >= 0.25 * F.col("n")), F.lit("tags")),
             F.when((F.col("separators") >= 12) & (F.col("separators") >= 0.25 * F.col("n")) & (few_function | (F.col("n") - F.col("prose") >= 40)), F.lit("separators")),
-            F.when((F.col("pairs") >= 0.25) & repeated & (F.col("n") >= 40), F.lit("keywords")),
+            F.when((F.col("pairs") >= 0.25) & (repeated | duplicated) & (F.col("n") >= 40), F.lit("keywords")),
             F.when((F.col("lines") >= 12) & (F.col("short_lines") >= 0.7) & (few_function | ((F.col("lines") >= 20) & (F.col("short_lines") >= 0.9))), F.lit("short lines")),
+            F.when(duplicated & few_function, F.lit("duplicate lines")),
             F.when(stuffed, F.lit("few kinds")),
         )
     )
