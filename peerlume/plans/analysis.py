@@ -14,13 +14,13 @@ from peerlume.plans.evaluation import matching
 from peerlume.plans.registry import Registry
 
 R = Registry()
-CHARS = 12_000
+CHARS = 12_000  # of the SQL alone: the plan takes whole texts
 QUERY_EVERY = 20  # queries are the articles whose number is divisible by 20, against all
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a = bind.articles(spark, sf_dir)
-    text = article_text(F.col("title"), F.col("abstract"), F.map_values("paper_text_sections"), CHARS)
+    text = article_text(F.col("title"), F.col("abstract"), F.map_values("paper_text_sections"))
     docs = a.select("entry_no", text.alias("text"), f1000_family(F.col("source"), F.col("doi")).alias("family"))
     ref = bind.reference(spark, sf_dir).where(F.trim("text") != "")
     return docs.join(ref.select("entry_no"), "entry_no", "left_semi"), docs.where(F.col("entry_no") % QUERY_EVERY == 0), ref
