@@ -5,6 +5,8 @@ Everything here is a plain ``Column`` expression, so it stays inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ DASHES = r"[‐-―−]"
 DOI_PREFIX_OF_SOURCE = {"elife": "10.7554/elife.", "peerj": "10.7717/peerj.", "nature": "10.1038/"}
 
 
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with ``c`` evaluated once, however often and in whatever branch the body uses it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def _squeezed(c: Column) -> Column:
     """Lower case, percent-escapes of "/" undone, one kind of dash, no invisible characters."""
     c = F.lower(F.regexp_replace(c, INVISIBLE, ""))
@@ -28,15 +35,18 @@ def canonical_doi(c: Column) -> Column:
     A stand-in is whatever holds no ``10.<registrant>/<suffix>`` or uses the registrant 0000.
     """
     found = F.regexp_extract(_squeezed(c), r"(10\.\d{4,9}/.*[^\s./,;:)\]])", 1)
-    return F.when((found != "") & ~found.startswith("10.0000/"), found)
+    return once(found, lambda x: F.when((x != "") & ~x.startswith("10.0000/"), x))
 
 
 def canonical_id(c: Column) -> Column:
     """Article id in one spelling, its version kept; NULL for NULL and blank ids."""
-    s = _squeezed(c)
-    source, rest = F.substring_index(s, ":", 1), F.regexp_replace(s, "^[^:]*:", "")
-    rest = F.when(rest.startswith("10."), F.regexp_replace(rest, r"^(10\.\d{4,9})_", "$1/")).otherwise(rest)
-    return F.when(s != "", F.when(s.contains(":"), F.concat(source, F.lit(":"), rest)).otherwise(s))
+
+    def spelled(s: Column) -> Column:
+        rest = F.substring(s, F.instr(s, ":") + 1, F.length(s))
+        rest = F.when(rest.startswith("10."), F.regexp_replace(rest, r"^(10\.\d{4,9})_", "$1/")).otherwise(rest)
+        return F.when(s != "", F.when(s.contains(":"), F.concat(F.substring_index(s, ":", 1), F.lit(":"), rest)).otherwise(s))
+
+    return once(_squeezed(c), spelled)
 
 
 def without_version(doi: Column) -> Column:
@@ -51,19 +61,21 @@ def manuscript_of_doi(c: Column) -> Column:
 
 def manuscript_of_id(c: Column) -> Column:
     """Key of the manuscript that an article id names; comparable with :func:`manuscript_of_doi`."""
-    s = canonical_id(c)
-    source, rest = F.substring_index(s, ":", 1), F.regexp_replace(s, "^[^:]*:", "")
-    prefix = F.lit(None).cast("string")
-    for name, doi in DOI_PREFIX_OF_SOURCE.items():
-        prefix = F.when(source == name, F.lit(doi)).otherwise(prefix)
-    key = F.when(rest.startswith("10."), rest).when(prefix.isNotNull(), F.concat(prefix, rest)).otherwise(s)
-    return without_version(key)
+
+    def key(s: Column) -> Column:
+        source, rest = F.substring_index(s, ":", 1), F.substring(s, F.instr(s, ":") + 1, F.length(s))
+        prefix = F.lit(None).cast("string")
+        for name, doi in DOI_PREFIX_OF_SOURCE.items():
+            prefix = F.when(source == name, F.lit(doi)).otherwise(prefix)
+        return F.when(rest.startswith("10."), rest).when(prefix.isNotNull(), F.concat(prefix, rest)).otherwise(s)
+
+    return without_version(once(canonical_id(c), key))
 
 
 def category(c: Column) -> Column:
     """Spelling of a category: trimmed, lower case, words joined by ``_``; NULL for NULL and blanks."""
     s = F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"[\s _-]+", " ")), " ", "_")
-    return F.when(s != "", s)
+    return once(s, lambda x: F.when(x != "", x))
 
 
 # Short forms of editorial decisions.
@@ -90,10 +102,10 @@ def comparable_words(c: Column) -> Column:
     """Different words of a text after case, punctuation, markup and white space are levelled; never NULL."""
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^<>]{0,200}>", " ")
     s = F.regexp_replace(s, r"&(?:amp|nbsp|lt|gt|quot|#\d{1,6});", " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    return F.array_distinct(F.array_remove(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), ""))
 
 
 def abstract_words(c: Column) -> Column:
     """As :func:`comparable_words`, but empty for the stand-ins of a missing abstract."""
-    w = comparable_words(c)
-    return F.when(F.array_join(w, " ").isin(*ABSTRACT_STAND_INS), F.array().cast("array<string>")).otherwise(w)
+    none = F.array().cast("array<string>")
+    return once(comparable_words(c), lambda w: F.when((F.size(w) <= 4) & F.array_join(w, " ").isin(*ABSTRACT_STAND_INS), none).otherwise(w))
