@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
 from peerlume.llm import consensus, groups, history, overlap, packing, privacy, sampling, spam, tokens
-from peerlume.session import cut, materialised, table
+from peerlume.session import materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,17 +77,15 @@ LABEL_CLASSES = {
 }
 
 
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str) -> consensus.Answers:
     labels = table(spark, sf_dir, "concern_labels")
-    return consensus.latest_answers(labels, "concern_no", "annotator_id", ["labelled_at", "label_no"], {f: category(F.col(f)) for f in LABEL_CLASSES})
+    return consensus.gather_answers(labels, "concern_no", "annotator_id", ["labelled_at", "label_no"], {f: category(F.col(f)) for f in LABEL_CLASSES}, LABEL_CLASSES)
 
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus label of each labelled concern and field."""
-    votes = _votes(spark, sf_dir)
-    post, _ = consensus.reliability_em(votes, LABEL_CLASSES)
-    best = consensus.best_label(post, LABEL_CLASSES)
+    best = consensus.best_label(consensus.reliability_em(_answers(spark, sf_dir)).posteriors, LABEL_CLASSES)
     items = table(spark, sf_dir, "concern_labels").select(F.col("concern_no").alias("item")).where("item is not null").distinct()
     fields = items.select("item", F.explode(F.array(*map(F.lit, LABEL_CLASSES))).alias("field"))
     default = F.create_map(*[x for f, c in LABEL_CLASSES.items() for x in (F.lit(f), F.lit(c[0]))])
@@ -97,15 +95,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement per field, corrected for chance."""
-    return consensus.agreement(_votes(spark, sf_dir))
+    return consensus.agreement(_answers(spark, sf_dir))
 
 
 @query
 def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reliability per field and annotator."""
-    votes = cut(_votes(spark, sf_dir))
-    post, _ = consensus.reliability_em(votes, LABEL_CLASSES)
-    return consensus.annotator_reliability(votes, post, LABEL_CLASSES)
+    return consensus.reliability_em(_answers(spark, sf_dir)).reliability()
 
 
 SAMPLE_AXES = ["source", "editorial_decision", "review_format"]
