@@ -221,7 +221,7 @@ def _history(spark: SparkSession, sf_dir: str, counts: tokens.Lookup) -> history
     empty = F.lit(None).cast("string")
     ids = ids.select(F.lit(None).cast("bigint").alias("entry_no"), "id", empty.alias("doi"), empty.alias("title"), empty.alias("abstract"))
     out = history.History(spark)
-    out.append(materialised(articles.unionByName(history.records(ids, counts, "entry_no", F.lit(history.BEFORE_ALL))), "history-records"))
+    out.add(articles.unionByName(history.records(ids, counts, "entry_no", F.lit(history.BEFORE_ALL))))
     return out
 
 

@@ -82,7 +82,7 @@ def test_batches_against_history_find_what_brute_force_finds(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(None).cast("string"))
     counts = overlap.word_counts(df, F.col("title"))
     past = history.History(spark)
-    past.append(history.records(df.where("split = 'train'"), counts, "entry_no", F.lit(history.BEFORE_ALL)))
+    past.add(history.records(df.where("split = 'train'"), counts, "entry_no", F.lit(history.BEFORE_ALL)))
     new = df.where("split = 'test'").withColumn("batch", F.col("entry_no") % 2)
     recs = history.records(new, counts, "entry_no", F.col("entry_no"), keep=("batch",))
     assert {r.rec for r in history.found_in_batches(past, recs, "batch", [0, 1]).collect()} == want
