@@ -9,9 +9,9 @@ min-wise order that differs from key to key).
 
 A batch reads only the blocks that hold its keys and of these only the entries of its keys. It is
 merged into them in that order and each new record compared with ``WINDOW`` neighbours on either
-side. Whatever stands in a key with more entries than a window and is not known by then is compared
-with all earlier entries of the key, in cells of bounded size, so the windows save time and lose
-nothing. Afterwards the batch is a run of its own; runs are merged with runs of their size now and
+side. Whatever is not known by then is compared with all earlier entries of its keys, in cells of
+bounded size, so the windows save time (the copies of a large family find one another there) and
+lose nothing. Afterwards the batch is a run of its own; runs are merged with runs of their size now and
 then, so an entry is rewritten about log(history) times and old runs are deleted.
 
 Defined results: NULL, blank and stand-in ids, DOIs and texts name nothing; a record is known if an
@@ -40,6 +40,7 @@ WINDOW = 4  # neighbours on either side in the first comparison
 CELL = 20_000  # entries of one key that are compared with a new record in one task
 BLOCK_ENTRIES = 250_000  # a block of the key range holds about so many entries of a run
 MOST_BITS = 14  # the key range is cut into at most 2^14 blocks
+MOST_KEYS = 1_000_000  # keys of a batch that are broadcast, 8 MB
 COMPACT_AFTER = 3  # runs beyond the base run
 
 BEFORE_ALL = -1  # sequence number of everything accepted before the first batch
@@ -205,8 +206,10 @@ class History:
         self.runs.append(run)
         new = self._read([run.near], NEAR).drop("block").join(known.withColumn("k", F.lit(True)), "rec", "left").withColumn("mine", F.col("k").isNull()).drop("k")
         keys = new.where("mine").select("key").distinct()
+        few = self._read([run.near], NEAR).count() <= MOST_KEYS
         past = self._read([r.near for r in old], NEAR, self._blocks(keys)).drop("block").withColumn("mine", F.lit(False))
-        touched = scratch.table(past.unionByName(new).join(keys, "key", "left_semi"), "touched")
+        # the keys of a batch of common size go to the history's blocks, not the blocks to the keys
+        touched = scratch.table(past.unionByName(new).join(F.broadcast(keys) if few else keys, "key", "left_semi"), "touched")
 
         words = kept.select("rec", F.col("t").alias("t1"), F.col("a").alias("a1"))
         content = self.contents().select(F.col("rec").alias("other"), F.col("seq").alias("other_seq"), F.col("t").alias("t2"), F.col("a").alias("a2"))
@@ -218,11 +221,13 @@ class History:
         return out
 
     def _crowded(self, touched: DataFrame, beside: DataFrame) -> DataFrame:
-        """(rec, other, other_seq) of new records that no neighbour knew, with all earlier entries of their crowded keys."""
-        parts = touched.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW + 1).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-        mine = touched.where("mine").join(beside, "rec", "left_anti").join(parts, "key")
+        """(rec, other, other_seq) of new records that no neighbour knew, with all earlier entries of their keys."""
+        # keys of more than CELL entries, of which there are at most entries / CELL
+        parts = touched.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+        split = lambda df: df.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        mine = split(touched.where("mine").join(beside, "rec", "left_anti"))
         mine = mine.select("key", "seq", "rec", F.col("sk").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        others = touched.join(parts, "key").select("key", F.col("seq").alias("other_seq"), F.col("rec").alias("other"), F.col("sk").alias("k2"), F.pmod(F.xxhash64("rec", "seq"), "parts").cast("int").alias("part"))
+        others = split(touched).select("key", F.col("seq").alias("other_seq"), F.col("rec").alias("other"), F.col("sk").alias("k2"), F.pmod(F.xxhash64("rec", "seq"), "parts").cast("int").alias("part"))
         return mine.join(others, ["key", "part"]).where((F.col("other_seq") < F.col("seq")) & may_match(F.col("k1"), F.col("k2"))).select("rec", "other", "other_seq").distinct()
 
     def compact(self) -> None:
