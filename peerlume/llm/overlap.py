@@ -105,14 +105,12 @@ def text_classes(df: DataFrame, record: Column, title: Column, abstract: Column,
     """(record_no, class_id, t, a, ks): class_id hashes the canonical title and abstract, t and a
     are word hashes, ks the keys of the text.
 
-    Records with neither title nor abstract words are left out.
+    Records with neither title nor abstract words have a NULL class.
     """
     out = df.select(record.alias("record_no"), comparable_words(title).alias("tw"), abstract_words(abstract).alias("aw"))
-    out = out.where((F.size("tw") > 0) | (F.size("aw") > 0))
     text = F.concat_ws("|", F.array_join("tw", " "), F.array_join("aw", " "))
-    return out.select(
-        "record_no", F.md5(text).alias("class_id"), hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"), match_keys("tw", "aw", counts).alias("ks")
-    )
+    class_id = F.when((F.size("tw") > 0) | (F.size("aw") > 0), F.md5(text))
+    return out.select("record_no", class_id.alias("class_id"), hashed(F.col("tw")).alias("t"), hashed(F.col("aw")).alias("a"), match_keys("tw", "aw", counts).alias("ks"))
 
 
 def near_classes(classes: DataFrame, left: str, right: str) -> DataFrame:
@@ -146,36 +144,60 @@ def similar(t1: str, a1: str, t2: str, a2: str) -> Column:
     return (jaccard(t1, t2) >= SIMILAR) & (jaccard(a1, a2) >= SIMILAR) & (both >= SIMILAR)
 
 
-def overlaps(df: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
-    """(train_no, eval_no): all overlaps of articles-like rows (entry_no, doi, title, abstract, split)."""
+def linked_classes(df: DataFrame, train: str, evaluation: tuple[str, ...], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Members (entry_no, side, doi, class_id, keep...) of the two sides, and links (one, other) from
+    the classes of train to those of evaluation with the same or nearly the same text. Records
+    without title and abstract words have a NULL class."""
     side = F.when(F.col("split") == train, F.lit("t")).when(F.col("split").isin(*evaluation), F.lit("e"))
-    rows = df.select("entry_no", side.alias("side"), canonical_doi(F.col("doi")).alias("doi"), "title", "abstract").where("side is not null")
-
-    dois = rows.where("doi is not null").select("entry_no", "side", "doi")
-    by_doi = dois.where("side = 't'").select("doi", F.col("entry_no").alias("train_no")).join(
-        dois.where("side = 'e'").select("doi", F.col("entry_no").alias("eval_no")), "doi"
-    ).select("train_no", "eval_no")
-
+    rows = df.select("entry_no", side.alias("side"), canonical_doi(F.col("doi")).alias("doi"), "title", "abstract", *keep).where("side is not null")
     counts = word_counts(rows, F.col("title"))
-    texts = materialised(
-        text_classes(rows, F.struct("entry_no", "side"), F.col("title"), F.col("abstract"), counts).select("record_no.*", "class_id", "t", "a", "ks"), "overlap-texts"
-    )
-    members = texts.select("entry_no", "side", "class_id")
-    same = members.where("side = 't'").select("class_id", F.col("entry_no").alias("train_no")).join(
-        members.where("side = 'e'").select("class_id", F.col("entry_no").alias("eval_no")), "class_id"
-    ).select("train_no", "eval_no")
-
+    record = F.struct("entry_no", "side", "doi", *keep)
+    texts = materialised(text_classes(rows, record, F.col("title"), F.col("abstract"), counts).select("record_no.*", "class_id", "t", "a", "ks"), "overlap-texts")
     classes = materialised(
-        texts.groupBy("class_id").agg(
+        texts.where("class_id is not null").groupBy("class_id").agg(
             F.any_value("t").alias("t"), F.any_value("a").alias("a"), F.any_value("ks").alias("ks"),
             F.max(F.col("side") == "t").alias("has_train"), F.max(F.col("side") == "e").alias("has_eval"),
         ),
         "overlap-classes",
     )
-    near = near_classes(classes, "has_train", "has_eval")
+    same = classes.where("has_train and has_eval").select(F.col("class_id").alias("one"), F.col("class_id").alias("other"))
+    return texts.drop("t", "a", "ks"), same.unionByName(near_classes(classes, "has_train", "has_eval"))
+
+
+def overlaps(df: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
+    """(train_no, eval_no): all overlaps of articles-like rows (entry_no, doi, title, abstract, split)."""
+    members, links = linked_classes(df, train, evaluation)
+    t = members.where("side = 't'").select(F.col("entry_no").alias("train_no"), "doi", "class_id")
+    e = members.where("side = 'e'").select(F.col("entry_no").alias("eval_no"), "doi", "class_id")
+    by_doi = t.drop("class_id").where("doi is not null").join(e.drop("class_id").where("doi is not null"), "doi").select("train_no", "eval_no")
     by_text = (
-        near.join(members.where("side = 't'").select(F.col("class_id").alias("one"), F.col("entry_no").alias("train_no")), "one")
-        .join(members.where("side = 'e'").select(F.col("class_id").alias("other"), F.col("entry_no").alias("eval_no")), "other")
+        links.join(t.select(F.col("class_id").alias("one"), "train_no"), "one")
+        .join(e.select(F.col("class_id").alias("other"), "eval_no"), "other")
         .select("train_no", "eval_no")
     )
-    return by_doi.union(same).union(by_text).distinct()
+    return by_doi.union(by_text).distinct()
+
+
+def overlap_report(df: DataFrame, by: tuple[str, ...], train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
+    """(by..., eval_rows, overlapping_rows, overlapping_pairs) of the evaluation rows, per group of ``by``.
+
+    No pair of rows is ever made: rows of equal DOI, text and group are one cell with a count. The
+    train rows that overlap with a cell are those of its DOI and those of the classes linked with
+    its class, less those that are both.
+    """
+    members, links = linked_classes(df, train, evaluation, keep=by)
+    cells = materialised(members.groupBy("side", "doi", "class_id", *by).agg(F.count(F.lit(1)).alias("n")), "overlap-cells")
+    links = materialised(links, "overlap-links")
+    t = materialised(cells.where("side = 't'").groupBy("doi", "class_id").agg(F.sum("n").alias("n")), "overlap-train-cells")
+    of_doi = t.where("doi is not null").groupBy("doi").agg(F.sum("n").alias("same_doi"))
+    of_class = t.where("class_id is not null").groupBy(F.col("class_id").alias("one")).agg(F.sum("n").alias("n"))
+    of_class = links.join(of_class, "one").groupBy(F.col("other").alias("class_id")).agg(F.sum("n").alias("same_text"))
+    both = cells.where("side = 'e' and doi is not null").select("doi", F.col("class_id").alias("other")).distinct().join(links, "other")
+    both = both.join(t.select("doi", F.col("class_id").alias("one"), "n"), ["doi", "one"])
+    both = both.groupBy("doi", F.col("other").alias("class_id")).agg(F.sum("n").alias("same_both"))
+    e = cells.where("side = 'e'").join(of_doi, "doi", "left").join(of_class, "class_id", "left").join(both, ["doi", "class_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    e = e.withColumn("pairs", zero("same_doi") + zero("same_text") - zero("same_both"))
+    return e.groupBy(*by).agg(
+        F.sum("n").alias("eval_rows"), F.sum(F.when(F.col("pairs") > 0, F.col("n")).otherwise(0)).alias("overlapping_rows"), F.sum(F.col("pairs") * F.col("n")).alias("overlapping_pairs")
+    )

@@ -51,19 +51,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps counted per evaluation split and source, beside the rows they are among."""
-    articles = table(spark, sf_dir, "articles").select("entry_no", "split", F.coalesce(category(F.col("source")), F.lit("unknown")).alias("source"))
-    pairs = overlap.overlaps(table(spark, sf_dir, "articles"))
-    hit = pairs.groupBy(F.col("eval_no").alias("entry_no")).agg(F.count(F.lit(1)).alias("pairs"))
-    return (
-        articles.where(F.col("split").isin("val", "test"))
-        .join(hit, "entry_no", "left")
-        .groupBy("split", "source")
-        .agg(
-            F.count(F.lit(1)).alias("eval_rows"),
-            F.count("pairs").alias("overlapping_rows"),
-            F.coalesce(F.sum("pairs"), F.lit(0)).alias("overlapping_pairs"),
-        )
-    )
+    articles = table(spark, sf_dir, "articles").withColumn("source", F.coalesce(category(F.col("source")), F.lit("unknown")))
+    return overlap.overlap_report(articles, ("split", "source"))
 
 
 # Classes of the labelled fields, the most frequent first.
