@@ -152,11 +152,13 @@ def word_ids(words: DataFrame, name: str = "byte_bpe_50k", folder: str = DEFAULT
     short = F.length("code") <= 2 * LONGEST_FOLD
     folded = coded.where(short).select("word", "n", fold_merges(F.col("code"), ranks).alias("ids"))
 
+    shared = words.sparkSession.sparkContext.broadcast(read_ranks(name, folder))  # executors need no vocabulary file
+
     @F.pandas_udf("array<int>")
     def long_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        enc = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(name, folder), special_tokens={})
+        enc = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
         for ws in batches:
             yield ws.map(enc.encode_ordinary)
 
@@ -192,15 +194,19 @@ class Encoder:
         # texts without such words take no part in that join
         marked = words.select(key, *keep, "_w", self.lookup.bind(slot).alias("_s"))
         plain = marked.where(~F.array_contains("_s", -1)).select(key, *keep, self.lookup.bind(lambda t: whole(t, F.col("_s"))).alias(out))
-        rest = marked.where(F.array_contains("_s", -1))
-        rare = rest.select(key, F.explode(F.array_distinct(F.filter(F.zip_with("_w", "_s", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull()))).alias("word"))
-        mine = rare.join(self.dictionary.select("word", "ids"), "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("_m"))
-        both = rest.join(mine, key, "left")
-        mixed = self.lookup.bind(lambda t: combine(F.zip_with("_w", "_s", lambda w, s: value(t, s, F.col("_m")[w]))))
+        # the join goes by the list of such words, so repeated documents and keys, and NULL keys, are
+        # no matter, and a list that a third of all texts share is joined once
+        rare = F.array_sort(F.array_distinct(F.filter(F.zip_with("_w", "_s", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull())))
+        rest = marked.where(F.array_contains("_s", -1)).withColumn("_r", rare).withColumn("_h", F.md5(F.array_join("_r", _SEPARATOR)))
+        lists = rest.groupBy("_h").agg(F.any_value("_r").alias("_r")).select("_h", F.posexplode("_r").alias("_i", "word"))
+        mine = lists.join(self.dictionary.select("word", "ids"), "word").groupBy("_h").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "ids"))), lambda x: x["ids"]).alias("_m"))
+        both = rest.join(mine, "_h")
+        # a rare word is found by its place in the list, which is short
+        mixed = self.lookup.bind(lambda t: combine(F.zip_with("_w", "_s", lambda w, s: value(t, s, F.get("_m", F.array_position("_r", w).cast("int") - 1)))))
         return plain.unionByName(both.select(key, *keep, mixed.alias(out)))
 
     def encode(self, docs: DataFrame, key: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-        """(key, keep..., out): the ids of each text; ``key`` is unique."""
+        """(key, keep..., out): the ids of each text, one row per row of ``docs``."""
         return self._looked_up(
             docs, key, text, keep,
             whole=lambda t, s: F.flatten(F.transform(s, lambda x: t.ids(x))),
@@ -210,7 +216,7 @@ class Encoder:
         )
 
     def lengths(self, docs: DataFrame, key: str, text: str = "text", out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
-        """(key, keep..., out): the number of ids of each text; ``key`` is unique."""
+        """(key, keep..., out): the number of ids of each text, one row per row of ``docs``."""
         total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
         return self._looked_up(
             docs, key, text, keep,
