@@ -56,12 +56,8 @@ def related_groups(df: DataFrame, record: Column, entities: list[Column]) -> Dat
     named = rows.where(F.size("keys") > 0).groupBy("keys").agg(F.min("record_no").alias("record"))
     edges = named.select("record", F.explode("keys").alias("key"))
     labels = minimum_labels(edges)
-    first = F.get("keys", 0)
-    return (
-        rows.withColumn("key", first)
-        .join(labels, "key", "left")
-        .select("record_no", F.coalesce("label", "record_no").alias("group_no"))
-    )
+    alone = rows.where(F.size("keys") == 0).select("record_no", F.col("record_no").alias("group_no"))
+    return rows.where(F.size("keys") > 0).withColumn("key", F.get("keys", F.lit(0))).join(labels, "key").select("record_no", F.col("label").alias("group_no")).unionByName(alone)
 
 
 def with_relatives(groups: DataFrame) -> DataFrame:
@@ -70,34 +66,38 @@ def with_relatives(groups: DataFrame) -> DataFrame:
     return groups.join(several, "group_no", "left_semi").select("record_no", "group_no")
 
 
-MOST_STRATA = 200  # the largest ones; the rest count as one stratum
+MOST_STRATA = 200  # largest strata that the placement of large groups looks at one by one; it takes the rest as one
 LARGE_SHARE = 1000  # a group of at least 1/1000 of all rows is placed alone, so there are at most 1000 of them
-GROUPS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 50_000
+GOLDEN = 0.6180339887498949  # multiples of it fill [0, 1) evenly from any start on
 
 
 def assign_splits(rows: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     """(record_no, group_no, stratum) -> (record_no, group_no, split), whole groups kept together.
 
     Large groups (at most 1000 by definition) are placed one by one where the label distribution
-    of the splits deviates least; the others fill what is left, stratum by stratum, in hash order.
-    Their running totals are made in two steps (buckets, then inside a bucket), so that a stratum
-    with a third of all rows is no single task.
+    of the splits deviates least. All others are ordered by what they consist of (their rows per
+    stratum) and dealt evenly along this order, each with the chances that its strata have left in
+    the splits; so groups alike in size and strata, mixed ones as well, spread over the splits in
+    the proportions wanted, at every size of the input. Places in the order are made in two steps
+    (buckets, then inside a bucket), so that a stratum with a third of all rows is no single task.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("stratum", F.coalesce("stratum", F.lit("~")))
-    kept = [r.stratum for r in rows.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MOST_STRATA).collect()]
-    rows = rows.withColumn("stratum", F.when(F.col("stratum").isin(kept), F.col("stratum")).otherwise("~other")) if len(kept) == MOST_STRATA else rows
     per = cut(rows.groupBy("group_no", "stratum").agg(F.count(F.lit(1)).alias("n")))
-    totals = {r.stratum: r.n for r in per.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}  # at most MOST_STRATA + 1 rows
+    sizes = cut(per.groupBy("stratum").agg(F.sum("n").alias("n")))
+    kept = {r.stratum: r.n for r in sizes.orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()}
+    rows_in_all = sizes.agg(F.sum("n")).first()[0] or 0
     names = [name for name, _ in targets]
     share = {name: pct / sum(p for _, p in targets) for name, pct in targets}
-    groups = per.groupBy("group_no").agg(F.sum("n").alias("n"), F.max_by("stratum", F.struct("n", "stratum")).alias("stratum"))
-    least = max(2, -(-sum(totals.values()) // LARGE_SHARE))
-    large = groups.where(F.col("n") >= least).select("group_no", F.col("n").alias("total"))
+    totals = {**kept, None: rows_in_all - sum(kept.values())}  # None is what the placement takes as one stratum
+    least = max(2, -(-rows_in_all // LARGE_SHARE))
+    large = per.groupBy("group_no").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+    known = F.when(F.col("stratum").isin(list(kept)), F.col("stratum")) if kept else F.lit(None).cast("string")
     held = {(s, t): 0 for s in names for t in totals}
     placed: list[tuple[int, str]] = []
-    by_group: dict[int, dict[str, int]] = {}
-    for r in per.join(large, "group_no").collect():  # at most LARGE_SHARE groups x strata
+    by_group: dict[int, dict[str | None, int]] = {}
+    for r in per.join(F.broadcast(large), "group_no").groupBy("group_no", known.alias("stratum")).agg(F.sum("n").alias("n")).collect():  # at most LARGE_SHARE groups x strata
         by_group.setdefault(r.group_no, {})[r.stratum] = r.n
     for no, has in sorted(by_group.items(), key=lambda x: (-sum(x[1].values()), x[0])):
         cost = {s: sum((held[s, t] + n - share[s] * totals[t]) ** 2 - (held[s, t] - share[s] * totals[t]) ** 2 for t, n in has.items()) for s in names}
@@ -107,26 +107,30 @@ def assign_splits(rows: DataFrame, targets: list[tuple[str, float]]) -> DataFram
             held[best, t] += n
     alone = spark.createDataFrame(placed or [(None, None)], "group_no bigint, split string").where("group_no is not null")
 
-    rest = groups.where(F.col("n") < least)
-    left = {(s, t): max(0.0, share[s] * totals[t] - held[s, t]) for s in names for t in totals}
-    cuts = []
+    # chances of a stratum: what it still lacks in each split
+    chances = []
     for t in totals:
-        whole, low = sum(left[s, t] for s in names) or 1.0, 0.0
-        for s in names:
-            cuts.append((t, s, low, low + left[s, t] / whole))
-            low += left[s, t] / whole
-    buckets = max(1, rest.count() // GROUPS_A_BUCKET)
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("group_no"), F.lit(buckets)))
-    sizes = rest.groupBy("stratum", "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = Window.partitionBy("stratum").orderBy("bucket")
-    sizes = sizes.select(
-        "stratum", "bucket",
-        (F.sum("in_bucket").over(before) - F.col("in_bucket")).alias("start"),
-        F.sum("in_bucket").over(Window.partitionBy("stratum")).alias("whole"),
+        left = [max(0.0, share[s] * totals[t] - held[s, t]) for s in names]
+        chances.append((t, [x / sum(left) if sum(left) else share[s] for x, s in zip(left, names)]))
+    table = spark.createDataFrame(chances, "of string, chance array<double>")  # at most MOST_STRATA + 1 rows
+    rest = per.join(F.broadcast(alone.select("group_no")), "group_no", "left_anti").withColumn("known", known)
+    rest = rest.join(F.broadcast(table), F.col("known").eqNullSafe(F.col("of"))).select("group_no", "stratum", "n", "chance")
+    groups = rest.groupBy("group_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stratum", "n"))), lambda x: F.concat_ws(":", x["stratum"], x["n"])), ";").alias("consists"),
+        F.max_by("stratum", F.struct("n", "stratum")).alias("most"),
+        *[(F.sum(F.col("n") * F.col("chance")[i]) / F.sum("n")).alias(f"c{i}") for i in range(len(names))],
     )
-    inside = Window.partitionBy("stratum", "bucket").orderBy(F.xxhash64("group_no", F.lit(7)), "group_no")
-    at = (F.col("start") + F.sum("n").over(inside) - F.col("n") / 2) / F.col("whole")
-    rest = rest.join(sizes, ["stratum", "bucket"]).select("group_no", "stratum", at.alias("at"))
-    bounds = spark.createDataFrame(cuts or [("", "", 0.0, 0.0)], "stratum string, split string, low double, high double")
-    dealt = rest.join(F.broadcast(bounds), "stratum").where("at >= low and at < high").select("group_no", "split")
-    return rows.join(alone.unionByName(dealt), "group_no", "left").select("record_no", "group_no", F.coalesce("split", F.lit(names[0])).alias("split"))
+    buckets = max(1, rows_in_all // ROWS_A_BUCKET)
+    groups = cut(groups.withColumn("consists", F.md5("consists")).withColumn("bucket", F.pmod(F.xxhash64("group_no"), F.lit(buckets))))
+    before = Window.partitionBy("most").orderBy("consists", "bucket")
+    cells = groups.groupBy("most", "consists", "bucket").agg(F.count(F.lit(1)).alias("k"))
+    cells = cells.select("most", "consists", "bucket", (F.sum("k").over(before) - F.col("k")).alias("start"))
+    inside = Window.partitionBy("most", "consists", "bucket").orderBy(F.xxhash64("group_no", F.lit(7)), "group_no")
+    at = F.col("start") + F.row_number().over(inside)
+    point = (at * F.lit(GOLDEN) + F.pmod(F.xxhash64("most"), F.lit(1 << 20)) / F.lit(float(1 << 20))) % 1
+    dealt = groups.join(cells, ["most", "consists", "bucket"]).withColumn("u", point)
+    split = F.lit(names[-1])
+    for i in reversed(range(len(names) - 1)):
+        split = F.when(F.col("u") < sum((F.col(f"c{j}") for j in range(1, i + 1)), F.col("c0")), F.lit(names[i])).otherwise(split)
+    dealt = dealt.select("group_no", split.alias("split"))
+    return rows.join(alone.unionByName(dealt), "group_no").select("record_no", "group_no", "split")
