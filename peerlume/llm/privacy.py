@@ -39,7 +39,8 @@ _POSTCODE = r"(?:\s[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}|\s\d{5}(?:-\d{4})?)"
 _TOWN = rf"(?:,\s*|\s*[\r\n]+\s*){_CAP}(?:[ -]{_CAP})?{_POSTCODE}?"
 
 EMAIL = re.compile(
-    r"[A-Za-z0-9._%+\-]+(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|At)\s?[\])}]\s?|\sAT\s)[A-Za-z0-9\-]+"
+    # a local part has 64 characters at most and is tried once where its run of characters begins, so long runs take linear time
+    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|At)\s?[\])}]\s?|\sAT\s)[A-Za-z0-9\-]+"
     r"(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|Dot)\s?[\])}]\s?|\sDOT\s)[A-Za-z0-9\-]+)+"
 )
 PHONE = re.compile(
@@ -222,9 +223,9 @@ def cue_disclosure(cands: DataFrame, texts_in_all: int) -> DataFrame:
 
 
 def personal_places(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(table_name, row_no, field, item, start, stop, pii_type) of all places to be replaced."""
-    keys = ["table_name", "row_no", "field", "item"]
-    cands = materialised(find_candidates(texts, keys, text), "personal-candidates")
+    """(table_name, row_no, field, item, digest, start, stop, pii_type) of all places to be replaced; digest hashes the text."""
+    keys = ["table_name", "row_no", "field", "item", "digest"]
+    cands = materialised(find_candidates(texts.withColumn("digest", F.xxhash64(text)), keys, text), "personal-candidates")
     cues = materialised(cue_disclosure(cands, texts.where(F.col(text).rlike(r"\S")).count()), "cues")
     cands = cands.withColumn("no", F.monotonically_increasing_id())
     cands = materialised(cands, "numbered-candidates")
@@ -245,9 +246,14 @@ def personal_places(texts: DataFrame, text: str = "text") -> DataFrame:
 def redacted(texts: DataFrame, places: DataFrame, placeholders: dict[str, str], text: str = "text") -> DataFrame:
     """(keys..., text): each place replaced by the placeholder of its type, all else unchanged."""
     keys = ["table_name", "row_no", "field", "item"]
+    joint = [*keys, "digest"]
+    texts = texts.withColumn("digest", F.xxhash64(text))
     marks = F.create_map(*[F.lit(x) for pair in placeholders.items() for x in pair])
-    spans = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "pii_type"))).alias("spans"))
-    joined = texts.join(spans, keys, "left")
+    # keys are compared as values, NULL like any other, so no text stays open for want of a number, and
+    # with the text, so rows that share a key keep their own places
+    spans = places.groupBy(*joint).agg(F.array_sort(F.collect_set(F.struct("start", "stop", "pii_type"))).alias("spans")).withColumnsRenamed({k: f"of_{k}" for k in joint})
+    same = [texts[k].eqNullSafe(spans[f"of_{k}"]) for k in joint]
+    joined = texts.join(spans, same, "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(
         s["stop"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), marks[s["pii_type"]]).alias("out")
