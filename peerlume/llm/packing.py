@@ -112,8 +112,7 @@ def pack(items: DataFrame, key: str, source: str, size: str, capacities: list[tu
         b = b.sort_values("item", ignore_index=True)
         per = b.drop_duplicates("source").set_index("source")
         capacity = int(b["capacity"].iloc[0])
-        # a shard inherits at most one window's worth of imbalance per source, or it would starve the others
-        owed = {s: float(np.clip(d, -capacity, capacity)) for s, d in per["deficit"].items()}
+        owed = {s: float(d) for s, d in per["deficit"].items()}
         w = fill_windows(b["source"].tolist(), b["n"].tolist(), b["item"].tolist(), capacity, per["share"].to_dict(), owed)
         return pd.DataFrame(
             {
@@ -138,6 +137,31 @@ def fill_report(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFra
     )
 
 
+def mixture_report(packed: DataFrame, key: str, source: str = "source") -> DataFrame:
+    """(container_id, source, share, windows, mean_off, most_off, most_owed): how the windows follow the mixture.
+
+    share is the source's part of all tokens in shared windows (items that fill windows of their own
+    are left out); mean_off and most_off are the mean and the largest distance of its part of a window
+    from that share; most_owed is the largest number of tokens that it was behind or ahead at the end
+    of a window of its shard. All of it is sums per (window, source) and running sums per shard.
+    """
+    shared = packed.where(~F.col("bin").startswith("whole:"))
+    cells = shared.groupBy("container_id", "bin", source).agg(F.sum("n_tokens").alias("n"))
+    cells = cells.withColumns({"shard": F.substring_index("bin", ":", 1).cast("bigint"), "place": F.substring_index("bin", ":", -1).cast("bigint")})
+    windows = cells.groupBy("container_id", "bin", "shard", "place").agg(F.sum("n").alias("m")).where("m > 0")
+    whole = windows.groupBy("container_id").agg(F.sum("m").alias("whole"), F.count(F.lit(1)).alias("windows"))
+    # the containers are few and so are the sources: one row for each of both
+    of_source = cells.groupBy("container_id", source).agg(F.sum("n").alias("of_source")).join(F.broadcast(whole), "container_id")
+    of_source = F.broadcast(of_source.select("container_id", source, "windows", (F.col("of_source") / F.col("whole")).alias("share")))
+    each = windows.join(of_source, "container_id").join(cells.select("container_id", "bin", source, "n"), ["container_id", "bin", source], "left")
+    so_far = Window.partitionBy("container_id", "shard", source).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.coalesce("n", F.lit(0))
+    each = each.withColumn("off", F.abs(n / F.col("m") - F.col("share"))).withColumn("owed", F.abs(F.sum(F.col("share") * F.col("m") - n).over(so_far)))
+    return each.groupBy("container_id", source).agg(
+        F.first("share").alias("share"), F.first("windows").alias("windows"), F.avg("off").alias("mean_off"), F.max("off").alias("most_off"), F.max("owed").alias("most_owed")
+    )
+
+
 def source_column(c: Column) -> Column:
     """Name of the queue of a source: lower case, trimmed."""
     return F.lower(F.trim(c))
