@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlume.functions.keys import once
 from peerlume.session import materialised
 
 DEFAULT_FOLDER = "/opt/tokenizers"
@@ -33,7 +34,7 @@ WORDS = rf"('s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 
 _SEPARATOR = "\x01x\x01"  # no word holds it: a word with a letter holds no control character
 LITERAL_WORDS = 100_000  # the most frequent words of the corpus; the rest is looked up by a join
-LONGEST_FOLD = 96  # bytes; the fold is quadratic, so longer words go to the vocabulary's own merge routine
+LONGEST_FOLD = 384  # bytes; the fold is quadratic, so longer words go to the vocabulary's own merge routine
 
 
 def read_ranks(name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> dict[bytes, int]:
@@ -186,24 +187,21 @@ class Encoder:
         return cls(Lookup({r.word: r.ids for r in top[:literal_words]}), dictionary, len(top) <= literal_words)
 
     def _looked_up(self, docs: DataFrame, key: str, text: str, keep: tuple[str, ...], whole, combine, value, out: str) -> DataFrame:
-        words = docs.select(key, *keep, words_of(F.col(text)).alias("_w"))
         slot = lambda t: F.transform("_w", lambda w: t.slot(w))
         if self.complete:
-            return words.select(key, *keep, self.lookup.bind(lambda t: whole(t, slot(t))).alias(out))
-        # words beyond the literal table are joined with the dictionary, once per text and word;
-        # texts without such words take no part in that join
-        marked = words.select(key, *keep, "_w", self.lookup.bind(slot).alias("_s"))
-        plain = marked.where(~F.array_contains("_s", -1)).select(key, *keep, self.lookup.bind(lambda t: whole(t, F.col("_s"))).alias(out))
-        # the join goes by the list of such words, so repeated documents and keys, and NULL keys, are
-        # no matter, and a list that a third of all texts share is joined once
-        rare = F.array_sort(F.array_distinct(F.filter(F.zip_with("_w", "_s", lambda w, s: F.when(s < 0, w)), lambda w: w.isNotNull())))
-        rest = marked.where(F.array_contains("_s", -1)).withColumn("_r", rare).withColumn("_h", F.md5(F.array_join("_r", _SEPARATOR)))
-        lists = rest.groupBy("_h").agg(F.any_value("_r").alias("_r")).select("_h", F.posexplode("_r").alias("_i", "word"))
-        mine = lists.join(self.dictionary.select("word", "ids"), "word").groupBy("_h").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "ids"))), lambda x: x["ids"]).alias("_m"))
-        both = rest.join(mine, "_h")
-        # a rare word is found by its place in the list, which is short
-        mixed = self.lookup.bind(lambda t: combine(F.zip_with("_w", "_s", lambda w, s: value(t, s, F.get("_m", F.array_position("_r", w).cast("int") - 1)))))
-        return plain.unionByName(both.select(key, *keep, mixed.alias(out)))
+            return docs.select(key, *keep, words_of(F.col(text)).alias("_w")).select(key, *keep, self.lookup.bind(lambda t: whole(t, slot(t))).alias(out))
+        # words beyond the literal table are joined with the dictionary once per different text, then
+        # go back to its rows by the text's hash: repeated texts and keys, and NULL keys, are no matter
+        hashed = docs.select(key, *keep, text, F.md5(text).alias("_h"))
+        words = hashed.select("_h", F.array_distinct(words_of(F.col(text))).alias("_w"))
+        rare = words.select("_h", self.lookup.bind(lambda t: F.array_sort(F.filter("_w", lambda w: t.slot(w) < 0))).alias("_r")).where("size(_r) > 0")
+        lists = rare.groupBy("_h").agg(F.any_value("_r").alias("_r")).select("_h", F.explode("_r").alias("word"))
+        mine = lists.join(self.dictionary.select("word", "ids"), "word").groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("word", "ids"))).alias("_m"))
+        mine = materialised(mine.select("_h", F.transform("_m", lambda x: x["word"]).alias("_r"), F.transform("_m", lambda x: x["ids"]).alias("_m")), "rare-words")
+        both = hashed.join(mine, "_h", "left").select(key, *keep, words_of(F.col(text)).alias("_w"), "_r", "_m")
+        own = lambda w: F.get("_m", F.array_position("_r", w).cast("int") - 1)
+        mixed = self.lookup.bind(lambda t: combine(F.transform("_w", lambda w: once(t.slot(w), lambda s: value(t, s, own(w))))))
+        return both.select(key, *keep, mixed.alias(out))
 
     def encode(self, docs: DataFrame, key: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
         """(key, keep..., out): the ids of each text, one row per row of ``docs``."""
