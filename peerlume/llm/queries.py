@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlume.functions.keys import category, decision, manuscript_of_doi, manuscript_of_id
-from peerlume.llm import consensus, groups, history, overlap, packing, privacy, sampling, spam, tokens
+from peerlume.llm import consensus, groups, history, oracles, overlap, packing, privacy, sampling, spam, tokens
 from peerlume.session import materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,6 +66,9 @@ LABEL_CLASSES = {
 }
 
 
+SQL["p4_agreement"] = oracles.agreement_sql(LABEL_CLASSES)
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> consensus.Answers:
     labels = table(spark, sf_dir, "concern_labels")
     return consensus.gather_answers(labels, "concern_no", "annotator_id", ["labelled_at", "label_no"], {f: category(F.col(f)) for f in LABEL_CLASSES}, LABEL_CLASSES)
@@ -84,7 +87,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement per field, corrected for chance."""
-    return consensus.agreement(_answers(spark, sf_dir))
+    parts = consensus.agreement(_answers(spark, sf_dir))
+    return parts.select("field", "items", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")])
 
 
 @query
@@ -189,6 +193,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the containers are from the proportions of the sources."""
+    return packing.mixture_report(materialised(_packed(spark, sf_dir)[0], "packed"), "doc_id")
+
+
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of repeated keywords, links or product tags."""
