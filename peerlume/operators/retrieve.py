@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from peerlume.session import materialised
 # Defaults of the baseline.
 K1, B, TOP_DOCS, TOP_CONCERNS = 1.5, 0.75, 8, 12
 
+BLOCK_TERMS = 1_000_000  # (query, term) rows of a broadcast block, about 30 MB
+
 
 def build_index(docs: DataFrame, doc: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
     """Weighted postings (term, doc, weight); articles without a token are left out.
@@ -26,16 +30,24 @@ def build_index(docs: DataFrame, doc: str, text: str, k1: float = K1, b: float =
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     joined = tf.join(length, "doc").join(terms, "term").join(F.broadcast(stats), F.lit(True))  # stats is one row
-    return joined.select("term", "doc", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
+    return materialised(joined.select("term", "doc", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight")), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, query: str, text: str) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, query: str, text: str, block: int = BLOCK_TERMS) -> DataFrame:
     """(query, doc, score) of every document that shares a term with a query; query terms count once.
 
-    Postings meet the queries' terms only, and the sums combine on the map side.
+    The postings are shuffled once, by document; the queries' terms come to them in broadcast blocks
+    of about ``block`` rows. So a document's scores are summed where its postings lie, and a top-k
+    over them leaves each task with k rows a query: hot terms and the pairs themselves are never
+    shuffled.
     """
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(retrieval_tokens(F.col(text)))).alias("term"))
-    return terms.join(index, "term").groupBy("query", "doc").agg(F.sum("weight").alias("score"))
+    terms = materialised(terms, "query-terms")
+    blocks = max(1, -(-terms.count() // block))
+    by_doc = index.repartition("doc")
+    of = lambda b: terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+    parts = [by_doc.join(F.broadcast(of(b)), "term").groupBy("query", "doc").agg(F.sum("weight").alias("score")) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def top_docs(hits: DataFrame, k: int = TOP_DOCS, accept: Column | None = None) -> DataFrame:
