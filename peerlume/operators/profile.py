@@ -55,10 +55,35 @@ def cross_source_duplicates(articles: DataFrame, doi: Column) -> DataFrame:
     return a.groupBy("doi").agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") > 1).select("doi", "n_rows", F.array_join("s", "+").alias("sources"))
 
 
-def input_cost(articles: DataFrame, chars: Column, cap: int, price_per_million: float, by: str) -> DataFrame:
-    """Estimated prompt tokens (a quarter of the characters, at most ``cap`` characters an article) and cost."""
-    t = F.least(chars, F.lit(cap)) / 4
-    return articles.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(t)).alias("tokens")).withColumn("cost", F.col("tokens") * price_per_million / 1e6)
+def article_chars(title: Column, abstract: Column, sections: Column) -> Column:
+    """Characters of title, abstract and all sections."""
+    n = lambda c: F.length(F.coalesce(c, F.lit("")))
+    values = F.coalesce(F.map_values(sections), F.array().cast("array<string>"))
+    return n(title) + n(abstract) + F.aggregate(values, F.lit(0), lambda a, x: a + n(x))
+
+
+def input_cost(articles: DataFrame, chars: Column, cap: int, price_in: float, price_out: float, by: str, answer: int = 1500) -> DataFrame:
+    """Estimated tokens and cost: a quarter of the characters, at most ``cap`` an article, and ``answer`` tokens of output each; prices are per million."""
+    tokens = F.floor(F.sum(F.least(chars, F.lit(cap))) / 4)
+    out = articles.groupBy(by).agg(F.count(F.lit(1)).alias("n"), tokens.alias("tokens")).withColumn("output_tokens", F.col("n") * answer)
+    return out.withColumn("cost", (F.col("tokens") * price_in + F.col("output_tokens") * price_out) / 1e6)
+
+
+def transitions(df: DataFrame, old: str, new: Column) -> DataFrame:
+    """(old, new, n): how often a re-inference changes a value to which."""
+    return df.groupBy(F.coalesce(F.col(old), F.lit("unknown")).alias("old"), F.coalesce(new, F.lit("unknown")).alias("new")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def manifest_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value, n): counters of a subset's manifest, one pass over the rows for all fields."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def descriptive_rate(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """(by..., n, hits, rate): a share without an interval; NULL is no hit."""
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"))
+    return out.withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.col("n")))
 
 
 def price_of(model: str, prices: dict[str, float], default: float) -> float:

@@ -78,10 +78,6 @@ def documentation_problems(text: str, expected: dict[str, int]) -> list[str]:
     return [f"{k}: {v} not found" for k, v in expected.items() if not re.search(rf"\b{v}\b", plain)]
 
 
-def identity_message(suspicious: bool, least: int) -> str:
-    """What a check for identical labels concludes."""
-    return (
-        f"Labels are the same throughout over at least {least} rows; they cannot count as independent until their origin is verified."
-        if suspicious
-        else "No suspicious identity."
-    )
+def identity_code(suspicious: bool) -> str:
+    """Outcome of a check for identical labels, for the caller to word."""
+    return "identical" if suspicious else "different"

@@ -142,6 +142,31 @@ def error_sample_quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
     return got
 
 
+def even_sample(df: DataFrame, key: str, group: str, limit: int, seed: int = 42) -> DataFrame:
+    """(key, group): ``limit`` rows spread evenly over the groups, the first groups in order of name taking one more; in hash order."""
+    names = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(limit).collect()]  # at most limit names
+    each, more = divmod(limit, len(names)) if names else (0, 0)
+    places = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, each + (i < more))]) if names else F.lit(None)
+    p = position(df.where(F.col(group).isin(names)).withColumn("_o", hash_order(F.col(key), seed)), [group], "_o", key)
+    return p.where(F.col("pos") <= places[F.col(group)]).select(key, group) if names else df.select(key, group).where("false")
+
+
+def manual_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in hash order; the limit keeps n rows a task, so nothing is sorted as a whole."""
+    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+
+
+def error_sample(df: DataFrame, key: str, kind: str, n: int, seed: int = 42) -> DataFrame:
+    """(key, kind): n rows by :func:`error_sample_quotas`, in hash order inside a kind of error (there are few)."""
+    filled = df.withColumn(kind, F.coalesce(kind, F.lit("unknown")))
+    got = error_sample_quotas({r[kind]: r["count"] for r in filled.groupBy(kind).count().collect()}, n)
+    if not got:
+        return filled.select(key, kind)
+    places = F.create_map(*[F.lit(x) for pair in got.items() for x in pair])
+    p = position(filled.withColumn("_o", hash_order(F.col(key), seed)), [kind], "_o", key)
+    return p.where(F.col("pos") <= places[F.col(kind)]).select(key, kind)
+
+
 def reference_shuffle_split(ids_by_stratum: dict[str, list[str]], val: float, test: float, seed: int) -> dict[str, str]:
     """The split with Python's own generator instead of hashes, for small sets given in load order."""
     rng, out = random.Random(seed), {}

@@ -1,13 +1,12 @@
 """Resampling and rank statistics.
 
-Exact tests enumerate sign or swap patterns inside Spark; Monte-Carlo versions and intervals that
-must follow NumPy's generator run in one pandas group on a handful of counts.
+Exact tests enumerate sign or swap patterns inside Spark; sampled versions draw from hashes, so any
+engine reproduces them and partial sums combine on the map side.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,12 +160,40 @@ def with_average_rank(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return df.withColumn("rank", average_rank([F.col(b) for b in by] or [F.lit(1)], F.col(score)))
 
 
-def monte_carlo(counts: DataFrame, by: list[str], diff: str, seed: int = 42) -> DataFrame:
-    """(by, n, p) of the sign-flip test with NumPy's generator, one pandas group per comparison."""
+def sign_flip_sampled(pairs: DataFrame, by: list[str], diff: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """(by, n, p) of the sampled sign-flip test, one added to both counts; p is 1 where all differences are zero.
+
+    Pairs enter as counts per size of difference, and a draw takes one bit of a hash per pair, 32 at
+    a time: the sum of a draw is made of bit counts, so no pair meets another and no task holds more
+    than partial sums.
+    """
+    of = F.col(diff)
+    sizes = pairs.groupBy(*by, F.abs(of).alias("size")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.signum(of)).alias("signs"))
+    total = sizes.groupBy(*by).agg(F.sum(F.when(F.col("size") != 0, F.col("pairs")).otherwise(0)).alias("n"), F.abs(F.sum(F.col("size") * F.col("signs"))).alias("observed"))
+    words = sizes.where("size <> 0").select(*by, "size", "pairs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pairs") - 1) / 32))).alias("word"))
+    words = words.withColumn("bits", F.least(F.lit(32), F.col("pairs") - 32 * F.col("word")))
+    each = words.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", F.col("size").cast("string"), "word")), 1, 8), 16, 10).cast("bigint")
+    plus = F.bit_count(drawn.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits").cast("int")) - 1))
+    sums = each.groupBy(*by, "draw").agg(F.abs(F.sum(F.col("size") * (2 * plus - F.col("bits")))).alias("reached"))
+    same = [F.col(f"t.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
+    met = total.alias("t").join(sums.alias("s"), same, "left")  # as many rows as draws a comparison
+    hits = F.count_if(F.col("reached") >= F.col("observed") - 1e-12)
+    out = met.groupBy(*[F.col(f"t.{b}").alias(b) for b in by]).agg(F.first("n").alias("n"), hits.alias("hits"))
+    return out.select(*by, "n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise((F.col("hits") + 1) / F.lit(draws + 1.0)).alias("p"))
+
+
+def model_pairs(scores: DataFrame, model: str, unit: str, score: str) -> DataFrame:
+    """(model_a, model_b, n, a_wins, b_wins, ties, mean_difference) of all unordered pairs of models on their common units; models are few."""
+    a = scores.select(F.col(model).alias("model_a"), unit, F.col(score).alias("x"))
+    b = scores.select(F.col(model).alias("model_b"), unit, F.col(score).alias("y"))
+    p = a.join(b, unit).where("model_a < model_b")
+    count = lambda c, name: F.count_if(c).alias(name)
+    return p.groupBy("model_a", "model_b").agg(
+        F.count(F.lit(1)).alias("n"), count(F.col("x") > F.col("y"), "a_wins"), count(F.col("x") < F.col("y"), "b_wins"), count(F.col("x") == F.col("y"), "ties"), F.avg(F.col("x") - F.col("y")).alias("mean_difference")
+    )
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("unit")[diff].to_numpy(dtype=float)
-        return pd.DataFrame([(*key, int((d != 0).sum()), sign_flip_p(d, seed))], columns=[*by, "n", "p"])
 
-    kinds = dict(counts.dtypes)
-    return counts.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", n bigint, p double")
+def renumbered(ranking: DataFrame, rank: str, name: str) -> DataFrame:
+    """An imported ranking with ranks 1..n in the order of the stored ones (a ranking is a handful of rows)."""
+    return ranking.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(rank, name)))

@@ -99,10 +99,30 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def answer_key_problems(rows: DataFrame, key: DataFrame) -> DataFrame:
+    """(item_id, problem): rated items without an answer key, keys without an item, and stimuli that were changed since."""
+    r, k = rows.select("item_id", F.col("stimulus_sha256").alias("of_row")), key.select(F.col("item_id"), F.col("stimulus_sha256").alias("of_key"))
+    both = r.withColumn("_r", F.lit(True)).join(k.withColumn("_k", F.lit(True)), "item_id", "full_outer")
+    problem = F.when(F.col("_k").isNull(), "no key").when(F.col("_r").isNull(), "no item").when(~F.col("of_row").eqNullSafe(F.col("of_key")), "stimulus changed")
+    return both.select("item_id", problem.alias("problem")).where("problem is not null")
+
+
+def score_differences(stored: DataFrame, scored: DataFrame, key: str, score: str, tolerance: float = 0.0) -> DataFrame:
+    """(key, stored, scored, difference) of the models that both sides have and whose scores differ by more than ``tolerance``."""
+    s, n = stored.select(key, F.col(score).alias("stored")), scored.select(key, F.col(score).alias("scored"))
+    out = s.join(n, key).withColumn("difference", F.col("scored") - F.col("stored"))
+    return out.where(F.abs("difference") > tolerance)
+
+
+def sentinel_rows(results: DataFrame, macro: str, per_category: str) -> DataFrame:
+    """Results whose macro score is 0 although a category has one: files from before macro scores were kept."""
+    return results.where((F.col(macro) == 0) & F.coalesce(F.exists(F.map_values(per_category), lambda v: v > 0), F.lit(False)))
+
+
 def annotation_row_issues(rows: DataFrame, choices: dict[str, list[str]], system_fields: list[str]) -> DataFrame:
     """(item_id, issue): leaked system fields, answers outside their choices, repeated items."""
     leaked = [f for f in system_fields if f in rows.columns]
     dup = F.count(F.lit(1)).over(Window.partitionBy("item_id")) > 1
     found = [F.when(dup, F.lit("repeated item"))] + [F.lit(f"leaked field {f}") for f in leaked]
     found += [F.when(F.col(f).isNotNull() & (F.trim(f) != "") & ~F.col(f).isin(*v), F.lit(f"answer not allowed in {f}")) for f, v in choices.items() if f in rows.columns]
-    return rows.select("item_id", F.explode(F.array_compact(F.array(*found))).alias("issue"))
+    return rows.select("item_id", F.array_compact(F.array(*found)).alias("issues")).select("item_id", F.explode("issues").alias("issue"))

@@ -104,7 +104,22 @@ def human_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.largest_remainder(bind.articles(spark, sf_dir).select("entry_no", *_SUBSET_STRATA), "entry_no", _SUBSET_STRATA, SUBSET)
 
 
-@R.add()
+@R.add(
+    """with recursive st as (select coalesce(category, '~') as c, coalesce(severity, '~') as s, count(*) as size from concerns group by 1, 2),
+o as (select list(size order by c, s) as sizes, count(*)::int as k, sum(size)::double as total from st),
+r as (
+  select 0 as step, list_transform(sizes, lambda x: 1::bigint) as got from o
+  union all
+  select step + 1, list_transform(got, lambda g, i: case when i = best.j then g + 1 else g end) from (
+    select step, got, list_sort(list_transform(list_filter(range(1, k + 1), lambda j: got[j] < sizes[j]), lambda j: {'a': -(80 * sizes[j] / total - got[j]), 'b': -(sizes[j] - got[j]), 'j': j}))[1] as best
+    from r, o where step < least(80, total) - k)
+),
+g as (select got from r order by step desc limit 1),
+places as (select c, s, g.got[k] as n from (select c, s, row_number() over (order by c, s) as k from st), g)
+select concern_no, c as category, s as severity from (
+  select concern_no, coalesce(category, '~') as c, coalesce(severity, '~') as s, row_number() over (partition by coalesce(category, '~'), coalesce(severity, '~') order by md5('42:' || concern_no), concern_no) as pos from concerns
+) join places using (c, s) where pos <= n"""
+)
 def pack_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rater pack of 80 concerns, by largest deficit per category and severity."""
     return split.pack_sample(table(spark, sf_dir, "concerns").select("concern_no", "category", "severity"), "concern_no", ["category", "severity"], 80)
@@ -193,11 +208,20 @@ def dominant_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.dominant_label(table(spark, sf_dir, "concerns"), "entry_no", "category")
 
 
-@R.add(_with_articles("select source, count(*) as n, sum(floor(least(length(coalesce(title, '')) + length(coalesce(abstract, '')), 800) / 4))::bigint as tokens, sum(floor(least(length(coalesce(title, '')) + length(coalesce(abstract, '')), 800) / 4)) * 0.25 / 1e6 as cost from art group by 1"))
+_PRICES = {"small": (0.25, 1.25), "large": (3.0, 15.0)}  # per million tokens in and out; by exact name, else by the longest name it begins with
+
+
+@R.add(
+    _with_articles(
+        """select source, n, tokens, n * 1500 as output_tokens, (tokens * 0.25 + n * 1500 * 1.25) / 1e6 as cost from (
+  select source, count(*) as n, floor(sum(least(length(coalesce(title, '')) + length(coalesce(abstract, '')) + coalesce(list_sum(list_transform(map_values(paper_text_sections), lambda x: length(coalesce(x, '')))), 0), 80000)) / 4)::bigint as tokens from art group by 1)"""
+    )
+)
 def input_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated tokens and cost of titles and abstracts, 800 characters an article at most, by source."""
-    chars = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("abstract", F.lit("")))
-    return profile.input_cost(bind.articles(spark, sf_dir), chars, 800, 0.25, "source")
+    """Estimated tokens and cost of whole articles by source, 80,000 characters an article at most (the limit of a prompt)."""
+    chars = profile.article_chars(F.col("title"), F.col("abstract"), F.col("paper_text_sections"))
+    price_in, price_out = profile.price_of("small-2", _PRICES, _PRICES["large"])
+    return profile.input_cost(bind.articles(spark, sf_dir), chars, 80_000, price_in, price_out, "source")
 
 
 @R.add(
@@ -238,10 +262,17 @@ def concerns_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.concerns_flat(bind.articles(spark, sf_dir), c).drop("abstract", "paper_text_sections")
 
 
-@R.add(_with_articles("select id, source as journal, doi, title, abstract from art"))
+@R.add(
+    _with_articles(
+        "select id as article_id, doi, source as journal, title, abstract, array_to_string(list_sort(map_keys(paper_text_sections)), '|') as sections, list_sum(list_transform(map_values(paper_text_sections), lambda x: length(x)))::bigint as section_chars, 0 as n_references from art"
+    )
+)
 def task_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a system under test may see."""
-    return export.task_input(bind.articles(spark, sf_dir)).drop("subjects", "sections")
+    """What a system under test may see; of the sections their names and total length are compared."""
+    t = export.task_input(bind.articles(spark, sf_dir))
+    chars = F.aggregate(F.map_values("sections"), F.lit(None).cast("bigint"), lambda a, x: F.when(x.isNull(), a).otherwise(F.coalesce(a, F.lit(0)) + F.length(x)))
+    names = F.array_join(F.array_sort(F.map_keys("sections")), "|")
+    return t.select("article_id", "doi", "journal", "title", "abstract", names.alias("sections"), chars.alias("section_chars"), F.size("references").alias("n_references"))
 
 
 @R.add(_with_articles("select id, source, doi, published_date, schema_version from art"))
@@ -254,7 +285,23 @@ def public_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.public_annotations(bind.articles(spark, sf_dir), table(spark, sf_dir, "concerns"))
 
 
-@R.add()
+def _unsafe(c: str, most: int) -> str:
+    return f"case when {c} is null then 'missing' when regexp_matches({c}, '\\pC') then 'control characters' when contains({c}, '@') then 'e-mail-like' when regexp_matches({c}, '[\\s\\pZ]') then 'white space' when {c} = '' or length({c}) > {most} then 'length' end"
+
+
+_SHAPES = " or ".join(f"(lower(source) = '{s}' and regexp_full_match(id, '{p}'))" for s, p in export.ARTICLE_IDS.items())
+_SOURCES = ", ".join(f"'{s}'" for s in export.SOURCES)
+
+
+@R.add(
+    f"""select * from (
+  select id, 'id' as field, coalesce({_unsafe('id', 128)}, case when not starts_with(id, lower(source) || ':') then 'id does not belong to source' end, case when not ({_SHAPES}) then 'no id of its source' end) as reason from articles
+  union all select id, 'source', coalesce({_unsafe('source', 16)}, case when source not in ({_SOURCES}) then 'unknown source' end) from articles
+  union all select id, 'doi', coalesce({_unsafe('doi', 255)}, case when not regexp_full_match(doi, '{export.DOI_SHAPE}') then 'no DOI' end) from articles
+  union all select id, 'published_date', coalesce({_unsafe('published_date', 10)}, case when not regexp_full_match(published_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(published_date as date) is null then 'no ISO date' end) from articles
+  union all select id, 'schema_version', coalesce({_unsafe('schema_version', 16)}, case when schema_version <> '1.1' then 'other version' end) from articles
+) where reason is not null"""
+)
 def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the raw index that may not be published, with the reason."""
     return export.index_violations(export.public_index(table(spark, sf_dir, "articles")))

@@ -30,8 +30,13 @@ SOURCE_CONFIG = [
 ]
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(path)
+def exists(path: str, spark: SparkSession | None = None) -> bool:
+    """Whether a file or folder exists, on whatever file system the session (if any) sees."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return os.path.exists(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = ARTICLE_SCHEMA, allow_missing: bool = False, skip_invalid: bool = False) -> DataFrame:
