@@ -14,6 +14,11 @@ from peerlume.session import materialised
 K1, B, TOP_DOCS, TOP_CONCERNS = 1.5, 0.75, 8, 12
 
 BLOCK_TERMS = 1_000_000  # (query, term) rows of a broadcast block, about 30 MB
+PAIRS_A_TASK = 1_500_000  # sums of (query, document) that a task holds at once
+
+
+def default_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def build_index(docs: DataFrame, doc: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -44,7 +49,9 @@ def search(index: DataFrame, queries: DataFrame, query: str, text: str, block: i
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(retrieval_tokens(F.col(text)))).alias("term"))
     terms = materialised(terms, "query-terms")
     blocks = max(1, -(-terms.count() // block))
-    by_doc = index.repartition("doc")
+    # so many tasks that the pairs of one, which a whole text as a query may well have all, fit in memory
+    pairs = index.select("doc").distinct().count() * terms.select("query").distinct().count()
+    by_doc = index.repartition(max(default_partitions(index), -(-pairs // (blocks * PAIRS_A_TASK))), "doc")
     of = lambda b: terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
     parts = [by_doc.join(F.broadcast(of(b)), "term").groupBy("query", "doc").agg(F.sum("weight").alias("score")) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
