@@ -1,10 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-One Arrow pass measures each different text: the share of its words that stand in sentences, link
-share, separator density, the share of its most frequent word and of repeated word pairs, short
-and duplicate lines, and the share of function words in the language that fits best. The limits
-for function words and for the top word are calibrated per language from the corpus (medians over
-all texts), then a page is spam if less than half of it is prose and one sign of stuffing holds.
+One Arrow pass measures every text: the share of its words that stand in sentences, link share,
+separator density, the share of its most frequent word and of repeated word pairs, short and
+duplicate lines, and the share of function words in the language that fits best. The limits of all
+these shares are calibrated per language from the corpus (medians over all its texts), never below
+a floor; then a page is spam if less than half of it is prose and one sign of stuffing holds.
 
 Defined results: NULL, empty and blank texts are no spam; copies of a spam page are spam; a text
 with fewer than MIN_UNITS words, links included, is too short to tell; an empty table gives an
@@ -55,6 +55,8 @@ LEAST_TOP = 0.055  # no language has a lower limit for its top word
 SAME_LINES = 0.5  # share of lines that repeat an earlier one, from which lines count as duplicated
 LEAST_LINES = 4  # fewer lines are too few to tell
 PROSE_SHARE = 0.15  # least share of function words in a sentence
+# least limits of the signs: a language whose texts usually have more of something gets a higher one
+FLOORS = {"separators": 0.25, "links": 0.3, "pairs": 0.25, "same_lines": SAME_LINES, "short_lines": 0.7}
 
 
 def measure(text: str) -> tuple:
@@ -130,11 +132,17 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def calibrate(measured: DataFrame) -> DataFrame:
-    """Limits per language: half of the median share of function words, and for the share of the
-    top word one and a half medians, between LEAST_TOP and 0.12."""
+    """Limits per language: half of the median share of function words; for the share of the top word
+    one and a half medians, between LEAST_TOP and 0.12; for the shares of separators, links, repeated
+    word pairs, duplicate and short lines so many medians of the language, its floor at least."""
+    median = lambda c: F.percentile_approx(c, 0.5)
+    units = F.greatest(F.lit(1), F.col("n") + F.col("ideographs") + LINK_UNITS * F.col("links"))
+    above = lambda c, name, times=3.0: F.greatest(F.lit(FLOORS[name]), times * median(c)).alias(f"most_{name}")
     return measured.where("n + ideographs >= 20 and language <> 'none'").groupBy("language").agg(
-        (0.5 * F.percentile_approx("function_share", 0.5)).alias("least_function"),
-        F.greatest(F.lit(LEAST_TOP), F.least(F.lit(0.12), 1.5 * F.percentile_approx("top", 0.5))).alias("most_top"),
+        (0.5 * median("function_share")).alias("least_function"),
+        F.greatest(F.lit(LEAST_TOP), F.least(F.lit(0.12), 1.5 * median("top"))).alias("most_top"),
+        above(F.when(F.col("language") != "cjk", F.col("separators") / F.greatest(F.lit(1), F.col("n"))), "separators"),
+        above(LINK_UNITS * F.col("links") / units, "links"), above("pairs", "pairs"), above("same_lines", "same_lines", 1.5), above("short_lines", "short_lines", 1.2),
     )
 
 
@@ -146,15 +154,16 @@ def spam_pages(measured: DataFrame) -> DataFrame:
     repeated = F.col("top") >= F.coalesce("most_top", F.lit(LEAST_TOP))
     stuffed = (F.col("n") >= F.when(F.col("language") == "cjk", 40).otherwise(60)) & (F.col("kinds") <= 45) & repeated
     prose = F.when(stuffed, F.lit(0.0)).otherwise(F.col("prose") / units)
-    duplicated = (F.col("lines") >= LEAST_LINES) & (F.col("same_lines") >= SAME_LINES)
+    limit = {name: F.coalesce(f"most_{name}", F.lit(floor)) for name, floor in FLOORS.items()}
+    duplicated = (F.col("lines") >= LEAST_LINES) & (F.col("same_lines") >= limit["same_lines"])
     few_function = F.col("function_share") < F.coalesce("least_function", F.lit(0.15))
     signs = F.array_compact(
         F.array(
-            F.when((F.col("links") >= 5) & (F.col("links") * LINK_UNITS >= 0.3 * units), F.lit("links")),
-            F.when((F.col("hashes") >= 8) & (F.col("hashes") >= 0.25 * F.col("n")), F.lit("tags")),
-            F.when((F.col("separators") >= 12) & (F.col("separators") >= 0.25 * F.col("n")) & (few_function | (F.col("n") - F.col("prose") >= 40)), F.lit("separators")),
-            F.when((F.col("pairs") >= 0.25) & (repeated | duplicated) & (F.col("n") >= 40), F.lit("keywords")),
-            F.when((F.col("lines") >= 12) & (F.col("short_lines") >= 0.7) & (few_function | ((F.col("lines") >= 20) & (F.col("short_lines") >= 0.9))), F.lit("short lines")),
+            F.when((F.col("links") >= 5) & (F.col("links") * LINK_UNITS >= limit["links"] * units), F.lit("links")),
+            F.when((F.col("hashes") >= 8) & (F.col("hashes") >= limit["separators"] * F.col("n")), F.lit("tags")),
+            F.when((F.col("separators") >= 12) & (F.col("separators") >= limit["separators"] * F.col("n")) & (few_function | (F.col("n") - F.col("prose") >= 40)), F.lit("separators")),
+            F.when((F.col("pairs") >= limit["pairs"]) & (repeated | duplicated) & (F.col("n") >= 40), F.lit("keywords")),
+            F.when((F.col("lines") >= 12) & (F.col("short_lines") >= limit["short_lines"]) & (few_function | ((F.col("lines") >= 20) & (F.col("short_lines") >= 0.9))), F.lit("short lines")),
             F.when(duplicated & few_function, F.lit("duplicate lines")),
             F.when(stuffed, F.lit("few kinds")),
         )
