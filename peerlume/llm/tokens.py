@@ -94,8 +94,9 @@ class Bound:
         return F.when(F.get(self.keys, a) == word, a).when(F.get(self.keys, b) == word, b).otherwise(F.lit(-1))
 
     def ids(self, slot: Column) -> Column:
-        """The list in a slot."""
-        return F.slice(self.values, F.get(self.offsets, slot) + 1, F.get(self.lengths, slot))
+        """The list in a slot; most words are one id, for which a slice would cost more than a new array."""
+        whole = F.slice(self.values, F.get(self.offsets, slot) + 1, F.get(self.lengths, slot))
+        return F.when(F.get(self.lengths, slot) == 1, F.array(F.get(self.values, F.get(self.offsets, slot)))).otherwise(whole)
 
     def first(self, word: Column) -> Column:
         """First number of a word's list, NULL where it is not in the table."""
@@ -103,9 +104,10 @@ class Bound:
 
 
 def _place(two: list[tuple[int, int]]) -> dict[int, int] | None:
-    """Cuckoo placement: slot -> entry, or None if it does not come out."""
+    """Cuckoo placement: slot -> entry, or None if it does not come out. The first entries, which are
+    the most frequent ones, are placed last and so mostly lie where a look-up looks first."""
     at: dict[int, int] = {}
-    for k in range(len(two)):
+    for k in reversed(range(len(two))):
         slot, moved = two[k][0], k
         for _ in range(500):
             if slot not in at:
