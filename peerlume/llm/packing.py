@@ -162,6 +162,23 @@ def mixture_report(packed: DataFrame, key: str, source: str = "source") -> DataF
     )
 
 
+def violations(packed: DataFrame, sizes: DataFrame, key: str, size: str, capacities: list[tuple[int, int]]) -> DataFrame:
+    """(container_id, problem, n) of broken promises, none if all is right: overfull windows, items cut
+    although they fit, items whose pieces do not add up, and items that are missing."""
+    table = F.create_map(*[F.lit(x).cast("bigint") for pair in capacities for x in pair])
+    capacity = table[F.col("container_id")]
+    full = packed.groupBy("container_id", "bin").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > capacity).select("container_id", F.lit("overfull").alias("problem"))
+    ids = F.explode(F.array(*[F.lit(i).cast("bigint") for i, _ in capacities])).alias("container_id")
+    # rows of one key are compared as a whole: their tokens and the number of pieces they need
+    need = F.greatest(F.lit(1), F.ceil(F.col(size) / capacity))
+    wanted = sizes.select(key, F.coalesce(size, F.lit(0)).alias(size), ids).select(key, "container_id", size, need.alias("need"))
+    wanted = wanted.groupBy(key, "container_id").agg(F.sum(size).alias("tokens"), F.sum("need").alias("need"))
+    got = packed.groupBy(F.col(key).alias("_k"), F.col("container_id").alias("_c")).agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"))
+    both = wanted.join(got, F.col(key).eqNullSafe(F.col("_k")) & (F.col("container_id") == F.col("_c")), "left")
+    problem = F.when(F.col("pieces").isNull(), "missing").when(F.col("placed") != F.col("tokens"), "tokens").when(F.col("pieces") != F.col("need"), "cut")
+    return full.unionByName(both.select("container_id", problem.alias("problem")).where("problem is not null")).groupBy("container_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def source_column(c: Column) -> Column:
     """Name of the queue of a source: lower case, trimmed."""
     return F.lower(F.trim(c))

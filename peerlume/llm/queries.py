@@ -121,7 +121,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of each plan."""
     records = materialised(_sample_records(spark, sf_dir), "sample-records")
-    return sampling.draw(records, _sample_needs(spark, sf_dir, records), "entry_no", SAMPLE_AXES)
+    return sampling.draw(records, _sample_needs(spark, sf_dir, records), "entry_no", SAMPLE_AXES).drop("in_first_draw")
 
 
 @query
@@ -158,6 +158,28 @@ where (select count(*) from r where (n.source is null or n.source = r.source)
 """
 
 
+_DRAWN = SQL["p5_found"].split("select target_no from need n")[0].rstrip() + f""", numbered as (
+  select entry_no, coalesce({_DUCK_CATEGORY.format(c='source')}, 'unknown') as source, coalesce({_DUCK_CATEGORY.format(c='review_format')}, 'unknown') as review_format,
+    case d when 'accepted' then 'accept' when 'minor' then 'minor_revision' when 'minor_revisions' then 'minor_revision'
+      when 'major' then 'major_revision' when 'major_revisions' then 'major_revision' when 'rejected' then 'reject' else coalesce(d, 'unknown') end as editorial_decision
+  from (select *, {_DUCK_CATEGORY.format(c='editorial_decision')} as d from articles where id is null or entry_no in (select min(entry_no) from articles where id is not null group by id))
+), fits as (
+  select n.plan_name, n.target_no, n.need, r.entry_no from need n join numbered r on (n.source is null or n.source = r.source)
+    and (n.editorial_decision is null or n.editorial_decision = r.editorial_decision) and (n.review_format is null or n.review_format = r.review_format)
+), first as (
+  select plan_name, entry_no, min(target_no) as target_no from fits group by 1, 2
+), drawn as (
+  select plan_name, target_no, entry_no from (
+    select f.*, need, row_number() over (partition by f.plan_name, target_no order by ('0x' || substring(md5('42:' || f.plan_name || ':' || entry_no), 1, 10))::bigint, entry_no) as k
+    from first f join (select target_no, need from need) using (target_no)) where k <= need
+)"""
+SQL["p5_sample"] = f"{_DRAWN} select plan_name, target_no, entry_no from drawn"
+SQL["p5_report"] = f"""{_DRAWN}
+select target_no, plan_name, need::bigint as need, coalesce(a.n, 0) as available, coalesce(d.n, 0) as drawn, (need - coalesce(d.n, 0))::bigint as deficit
+from need left join (select target_no, count(*) as n from fits group by 1) a using (target_no) left join (select target_no, count(*) as n from drawn group by 1) d using (target_no)
+"""
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text."""
@@ -174,10 +196,14 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(documents, "doc_id").where(F.col("back") != F.coalesce("text", F.lit(""))).select("doc_id")
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", packing.source_column(F.col("source")).alias("source"))
     sizes = materialised(tokens.Encoder.fit(documents).lengths(documents, "doc_id", keep=("source",)), "sizes")
-    capacities = [(r.container_id, r.capacity_tokens) for r in table(spark, sf_dir, "containers").orderBy("container_id").collect()]  # a fixed table
+    return sizes, [(r.container_id, r.capacity_tokens) for r in table(spark, sf_dir, "containers").orderBy("container_id").collect()]  # a fixed table
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    sizes, capacities = _sized(spark, sf_dir)
     return packing.pack(sizes, "doc_id", "source", "n_tokens", capacities), capacities
 
 
@@ -193,6 +219,17 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+@query
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken promises of the packing; empty if every token is placed once, within the capacity, and nothing else is cut."""
+    sizes, capacities = _sized(spark, sf_dir)
+    packed = materialised(packing.pack(sizes, "doc_id", "source", "n_tokens", capacities), "packed")
+    return packing.violations(packed, sizes, "doc_id", "n_tokens", capacities)
+
+
+SQL["p8_violations"] = "select container_id, '' as problem, 0::bigint as n from containers where false"
+
+
 @query
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the containers are from the proportions of the sources."""
