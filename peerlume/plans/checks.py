@@ -378,6 +378,51 @@ def optimal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.sql["optimal_gain"] = "select 'x' as model, 0::bigint as entry_no, 0::bigint as n_matched, 0::bigint as n_greedy where false"
 
 
+_RUNS = f"""runs as (select model as tool, source as version, coalesce(split, 'none') as split, case when split = 'val' then '2024-03-01' when split = 'test' then '2024-02-01' else '2024-01-01' end as run_date, {sql_scores()}
+  from (select model, source, split, sum(n_ref) as n_ref, sum(n_tool) as n_tool, sum(n_matched) as n_matched from counts join art using (entry_no) group by 1, 2, 3))"""
+
+
+@R.add(
+    _sql(
+        """select tool, version, split, run_date, round(f1, 9) as f1, row_number() over (order by f1 desc, recall desc, tool, version) as rank from (
+  select *, row_number() over (partition by tool, version order by f1 desc, recall desc, run_date desc, split) as k from runs where split <> 'none') where k = 1""",
+        _RUNS,
+    )
+)
+def leaderboard_best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of several runs of each tool and version, ranked; runs over unassigned articles are left out."""
+    m = matching(spark, sf_dir)
+    counts = m.counts.join(m.articles.select("entry_no", F.col("source").alias("version"), F.coalesce("split", F.lit("none")).alias("split")), "entry_no")
+    date = F.when(F.col("split") == "val", "2024-03-01").when(F.col("split") == "test", "2024-02-01").otherwise("2024-01-01")
+    runs = metrics.micro(counts.withColumnRenamed("model", "tool"), "tool", "version", "split").withColumn("run_date", date).withColumn("algorithm", F.lit("greedy"))
+    board = stats.leaderboard(stats.homogeneous(runs, ["algorithm"]), ["tool", "version", "split"], F.col("split") != "none")
+    return board.select("tool", "version", "split", "run_date", F.round("f1", 9).alias("f1"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_VALID = "author_stance in ('conceded', 'partial')"
+_VARIANTS = f"""vref as (select 'all' as variant, ref_no, entry_no from ref union all select 'upheld', ref_no, entry_no from ref where {_VALID}),
+vedges as materialized (select v.variant, e.* from edges e join vref v using (ref_no, entry_no)),
+{bind.sql_greedy('vedges', name='vmatched', group='variant, model, entry_no')},
+vcounts as (select variant, model, coalesce(r.n, 0) as n_ref, (select count(*) from tool t where t.model = m.model) as n_tool, coalesce(x.n, 0) as n_matched
+  from (select unnest(['all', 'upheld']) as variant) v cross join models m left join (select variant, count(*) as n from vref group by 1) r using (variant) left join (select variant, model, count(*) as n from vmatched group by 1, 2) x using (variant, model))"""
+
+
+@R.add(_sql(f"select variant, model, n_ref, n_tool, n_matched, {sql_scores()} from vcounts", _VARIANTS))
+def alternative_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models scored again against the whole reference and against its upheld concerns alone."""
+    m = matching(spark, sf_dir)
+    upheld = F.coalesce(F.col("author_stance").isin("conceded", "partial"), F.lit(False))
+    variants = F.explode(F.when(upheld, F.array(F.lit("all"), F.lit("upheld"))).otherwise(F.array(F.lit("all"))))
+    vref = m.ref.select(variants.alias("variant"), "ref_no", "entry_no")
+    group = ("variant", "model", "entry_no")
+    matched = match.greedy_matches(m.edges.join(vref, ["ref_no", "entry_no"]), match.effective_threshold(match.EMBEDDING_THRESHOLD, "jaccard"), group)
+    models = bind.models(spark).select("model", F.explode(F.array(F.lit("all"), F.lit("upheld"))).alias("variant"))
+    n = lambda df, by, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    out = models.join(n(vref, ["variant"], "n_ref"), "variant", "left").join(n(m.tool, ["model"], "n_tool"), "model", "left").join(n(matched, ["variant", "model"], "n_matched"), ["variant", "model"], "left")
+    out = out.na.fill(0, ["n_ref", "n_tool", "n_matched"])
+    return out.select("variant", "model", "n_ref", "n_tool", "n_matched", *metrics.scores(F.col("n_matched"), F.col("n_ref"), F.col("n_tool")))
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 

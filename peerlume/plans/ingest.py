@@ -132,6 +132,24 @@ def new_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.new_rows(feed, incremental.start_dates(st), st).select("source", "id", "date")
 
 
+@R.add(f"with {_STATE}, s as (select source, max(last_date) as known from st where id is not null group by 1), f as (select source, max(date) as found from feed where id is not null group by 1) select source, coalesce(found, known) as last_date, coalesce(found < known, false) as moved_back from s full join f using (source)")
+def startup_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates a start-up sync takes over, and whether they move back."""
+    st, feed = _state(spark, sf_dir)
+    return incremental.startup_dates(st, feed)
+
+
+@R.add(
+    f"""with {_STATE}, s as (select source, max(last_date) as known from st where id is not null group by 1), w as (select source, max(last_date) - interval 3 day as start from st where id is not null group by 1),
+n as (select f.source, max(f.date) as found from feed f left join w on f.source = w.source where f.id is not null and coalesce(f.date >= w.start, true) and not exists (select 1 from st where st.id = f.id) group by 1)
+select source, greatest(known, found) as last_date from s left join n using (source)"""
+)
+def dates_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's date after a run over the new rows of the feed."""
+    st, feed = _state(spark, sf_dir)
+    return incremental.dates_after_run(st, incremental.new_rows(feed, incremental.start_dates(st), st))
+
+
 @R.add(f"select source, run_id, place from (select {sql_category('source')} as source, run_id, row_number() over (partition by {sql_category('source')} order by saved_at desc, run_id desc) as place from source_state) where place <= 50")
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last fifty runs of each source."""

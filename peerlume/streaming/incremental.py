@@ -38,6 +38,22 @@ def synced_state(state: DataFrame, rows: DataFrame) -> DataFrame:
     return both.groupBy("source", "id").agg(F.max("last_date").alias("last_date"))
 
 
+def startup_dates(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source, last_date, moved_back): the date a start-up sync takes from a source's rows wherever it
+    differs from the state's. Unlike :func:`synced_state` it can move back, which ``moved_back`` tells."""
+    s = state.groupBy("source").agg(F.max("last_date").alias("known"))
+    r = rows.groupBy("source").agg(F.max("date").alias("found"))
+    both = s.join(r, "source", "full_outer")
+    return both.select("source", F.coalesce("found", "known").alias("last_date"), F.coalesce(F.col("found") < F.col("known"), F.lit(False)).alias("moved_back"))
+
+
+def dates_after_run(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(source, last_date): after a run a source's date moves on only if the run brought new ids, and never back."""
+    s = state.groupBy("source").agg(F.max("last_date").alias("known"))
+    f = fresh.groupBy("source").agg(F.max("date").alias("found"))
+    return s.join(f, "source", "left").select("source", F.greatest("known", "found").alias("last_date"))
+
+
 def state_summary(state: DataFrame) -> DataFrame:
     """(source, n_ids, last_date) in order of source: the deterministic form for a state file."""
     return state.groupBy("source").agg(F.count_distinct("id").alias("n_ids"), F.max("last_date").alias("last_date")).orderBy("source")
