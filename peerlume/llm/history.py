@@ -77,7 +77,8 @@ def near_entries(recs: DataFrame) -> DataFrame:
     (without one, of the title) from the key on, round the end of the hash range."""
     words = F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("t"))
     each = recs.where("text is not null").select("seq", "rec", sketch("t", "a").alias("sk"), words.alias("w"), "ks")
-    each = each.select("seq", "rec", "sk", "w", F.explode("ks").alias("key"))  # beside a generator the struct would lose its names
+    # prefixes hold the smallest hashes, so they are hashed once more: blocks of the key range are even
+    each = each.select("seq", "rec", "sk", "w", F.explode(F.transform("ks", lambda k: F.xxhash64(k))).alias("key"))  # beside a generator the struct would lose its names
     place = F.coalesce(F.get(F.filter("w", lambda x: x >= F.col("key")), F.lit(0)), F.get("w", F.lit(0)))
     return each.select("key", place.alias("ord"), "seq", "rec", "sk")
 
