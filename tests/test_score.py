@@ -60,3 +60,7 @@ def pairs_stay(spark, name):
 
 def test_concerns_keep_their_pairs(spark):
     assert pairs_stay(spark, "bm25_concerns")
+
+
+def test_filtered_keeps_its_pairs(spark):
+    assert pairs_stay(spark, "bm25_family_filtered")
