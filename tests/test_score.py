@@ -64,3 +64,7 @@ def test_concerns_keep_their_pairs(spark):
 
 def test_filtered_keeps_its_pairs(spark):
     assert pairs_stay(spark, "bm25_family_filtered")
+
+
+def test_topk_keeps_its_pairs(spark):
+    assert pairs_stay(spark, "bm25_topk")
