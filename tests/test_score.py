@@ -68,3 +68,18 @@ def test_filtered_keeps_its_pairs(spark):
 
 def test_topk_keeps_its_pairs(spark):
     assert pairs_stay(spark, "bm25_topk")
+
+
+def test_first_ranks_are_those_of_the_join(spark, sizes):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    queries = docs.where("no % 4 = 0 or no > 500")
+    hits = retrieve.search(retrieve.build_index(docs, "no", "text"), queries, "no", "text")
+    plain = retrieve.first_relative_rank(hits, docs.withColumnRenamed("no", "entry_no"))
+    ranks = score.first_ranks(score.corpus(docs, "no", "text", "family"), queries, "no", "text", "family", sizes)
+    found = sorted((r.query, r["rank"]) for r in ranks.collect())
+    assert found == sorted((r.query, r["rank"]) for r in plain.collect()) and len(found) > 15
+
+
+def test_family_ranks_form_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "search", None)  # the join that forms all pairs; few articles of SF have relatives
+    assert catalogue.QUERIES["first_family_rank"](spark, SF).columns == ["query", "rank"]
