@@ -1,5 +1,6 @@
 """Scores by matrix products are those of the join of postings, and all pairs never leave the tasks."""
 
+import pickle
 import random
 
 import pytest
@@ -83,3 +84,12 @@ def test_first_ranks_are_those_of_the_join(spark, sizes):
 def test_family_ranks_form_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "search", None)  # the join that forms all pairs; few articles of SF have relatives
     assert catalogue.QUERIES["first_family_rank"](spark, SF).columns == ["query", "rank"]
+
+
+def test_workers_need_no_package(spark, monkeypatch):
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or plain(self, value))
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    score.best(score.corpus(docs, "no", "text", "family"), docs, "no", "text", "family", 8)
+    score.first_ranks(score.corpus(docs, "no", "text", "family"), docs, "no", "text", "family")
+    assert len(sent) == 3 and not any(b"peerlume" in x for x in sent)
