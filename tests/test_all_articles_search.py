@@ -13,3 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_every_article_gets_concerns(spark):
     found = {r.query for r in catalogue.QUERIES["bm25_concerns"](spark, SF).select("query").distinct().collect()}
     assert found == {r.entry_no for r in spark.read.parquet(f"{SF}/articles.parquet").collect()}
+
+
+def test_every_article_is_filtered_by_family(spark):
+    found = {r.query for r in catalogue.QUERIES["bm25_family_filtered"](spark, SF).select("query").distinct().collect()}
+    assert found == {r.entry_no for r in spark.read.parquet(f"{SF}/articles.parquet").collect()}
